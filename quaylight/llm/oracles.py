@@ -19,6 +19,24 @@ with recursive words as (
 select doc_id, cast(len(s) as bigint) n_shingles, component_id, doc_id = component_id kept from sets join least using (doc_id)
 """
 
+OP7 = rf"""
+with docs as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+), items as (
+  select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
+), places as (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) i from items where len(w) > 0
+), wins as (select distinct item_id, least(len(w), 13) n, array_to_string(w[i:i + 12], ' ') g from places
+), lens as (select distinct n from wins
+), grams as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) i from docs, lens where len(w) >= n
+), hit as (select doc_id, i, grams.n, item_id from grams join wins on grams.n = wins.n and array_to_string(w[i:i + grams.n - 1], ' ') = g
+), covered as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + n)) k from hit) group by 1
+), owners as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) items from (select distinct doc_id, cast(item_id as varchar) s from hit) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from docs left join covered using (doc_id) left join owners using (doc_id)
+"""
+
 ORACLES = {
     "op5_minhash_dedup": OP5,
+    "op7_decontamination": OP7,
 }
