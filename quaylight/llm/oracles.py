@@ -2,6 +2,22 @@
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, len(role) + len(text) + len('<|im_start|><|im_end|>') + 2
+    + len(regexp_extract_all(text, '[<\[]\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])')) n
+  from turns
+)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+  cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(n) as bigint) formatted_chars
+from sized group by conv_id
+"""
+
 OP5 = rf"""
 with recursive words as (
   select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents
@@ -37,6 +53,7 @@ from docs left join covered using (doc_id) left join owners using (doc_id)
 """
 
 ORACLES = {
+    "op2_chat_format": OP2,
     "op5_minhash_dedup": OP5,
     "op7_decontamination": OP7,
 }
