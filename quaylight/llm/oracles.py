@@ -35,6 +35,19 @@ with recursive words as (
 select doc_id, cast(len(s) as bigint) n_shingles, component_id, doc_id = component_id kept from sets join least using (doc_id)
 """
 
+OP6 = """
+with recursive raw as (select vec_id, cast(embedding as double[]) v from embeddings
+), ok as (
+  select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) u from raw
+  where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), link as (
+  select a.vec_id x, b.vec_id y from ok a join ok b on a.vec_id <> b.vec_id and len(a.u) = len(b.u) and list_dot_product(a.u, b.u) >= 0.95
+), reach as (select vec_id x, vec_id y from raw union select reach.x, link.y from reach join link on link.x = reach.y
+), least as (select x vec_id, min(y) component_id from reach group by 1
+), counts as (select x vec_id, count(*) n from link group by 1)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept from least left join counts using (vec_id)
+"""
+
 OP7 = rf"""
 with docs as (
   select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
@@ -55,5 +68,6 @@ from docs left join covered using (doc_id) left join owners using (doc_id)
 ORACLES = {
     "op2_chat_format": OP2,
     "op5_minhash_dedup": OP5,
+    "op6_embedding_dedup": OP6,
     "op7_decontamination": OP7,
 }

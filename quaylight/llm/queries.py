@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import bpe, chat_format, decontaminate, minhash_dedup, secret_scan, token_count
+from quaylight.llm import bpe, chat_format, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count
 from quaylight.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -38,6 +38,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("h")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op10_token_counts": op10_token_counts,
 }
