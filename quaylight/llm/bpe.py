@@ -28,6 +28,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NONE = np.iinfo(np.int64).max
 #: Cells of a lockstep block, words in a worker's cache, characters that are encoded together.
@@ -242,14 +243,14 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
 def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """docs with token_ids, the ids of each whole text. A column token_ids that docs has is replaced."""
     docs, source = docs.drop("token_ids"), vocabulary(docs.sparkSession, path)
-    schema = docs.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*docs.schema, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(lambda it: _encoded(it, source, column), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with the text that its token_ids decode to; null ids decode to null."""
     encoded, source = encoded.drop("decoded"), vocabulary(encoded.sparkSession, path)
-    return encoded.mapInArrow(lambda it: _decoded(it, source), encoded.schema.add("decoded", "string"))
+    return encoded.mapInArrow(lambda it: _decoded(it, source), T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import bpe, chat_format, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count
+from quaylight.llm import bpe, chat_format, cumulative_link, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count
 from quaylight.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -34,6 +34,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cumulative_link.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.drop("text")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -46,6 +51,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cumulative_link.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), eod=50256)
 
@@ -54,8 +64,10 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
