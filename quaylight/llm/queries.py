@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import bpe, chat_format, cumulative_link, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count
+from quaylight.llm import bpe, chat_format, cumulative_link, decontaminate, embedding_dedup, line_dedup, minhash_dedup, secret_scan, token_count
 from quaylight.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -56,6 +56,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), eod=50256)
 
@@ -69,5 +73,6 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
