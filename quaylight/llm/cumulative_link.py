@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 BITS, LABELLED, LEAST_DOCS = 24, 12_000, 4
 CACHE = 200_000
 _WORD = re.compile(r"\w+")
-_RUNS = re.compile(r"(.)\1{3,}", re.DOTALL)
 
 
 def slot(feature: str) -> int:
@@ -77,28 +76,33 @@ class ToxicFeatures:
 
 
 class QualityFeatures:
-    """Shapes of the white-space tokens, the share of tokens that repeat the one before, and the size, each with its density in powers of two."""
+    """Shapes of the white-space tokens, the share of tokens that repeat the one before, and the size, each with its density in powers of two.
 
-    _shapes = str.maketrans({**{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
-
-    def __init__(self):
-        self.known: dict[str, str] = {}
+    A shape has a for lower-case and other letters, A for upper-case ASCII letters and 0 for digits, with runs of these as
+    one and of other characters as three at most. All tokens of a text get their shapes at once, over its bytes.
+    """
 
-    def shape(self, token: str) -> str:
-        token = token[:24] + token[-24:] if len(token) > 48 else token
-        plain = "".join(c if c.isascii() else ("A" if c.isupper() else "a" if c.isalpha() else c) for c in token)
-        return _RUNS.sub(r"\1\1\1", re.sub("a+", "a", re.sub("A+", "A", plain.translate(self._shapes))))
+    classes = np.arange(256, dtype=np.uint8)
+    classes[97:123], classes[128:], classes[65:91], classes[48:58] = 97, 97, 65, 48
+    merged = np.isin(np.arange(256), [97, 65, 48])
+
+    def shapes(self, text: str) -> list[bytes]:
+        raw = self.classes[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        if not raw.size:
+            return []
+        same = np.zeros(raw.size, bool)
+        same[1:] = raw[1:] == raw[:-1]
+        long = same.copy()
+        long[2:] &= same[1:-1]
+        long[3:] &= same[1:-2]
+        long[:3] = False
+        return raw[~(same & (self.merged[raw] | long))].tobytes().split()
 
     def __call__(self, text: str) -> list[int]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        tokens = text.split()
-        for t in set(tokens) - self.known.keys():
-            self.known[t] = self.shape(t)
-        counts = Counter(map(self.known.__getitem__, tokens))
-        counts["=previous"] = sum(map(eq, tokens, tokens[1:]))
+        tokens, counts = text.split(), Counter(self.shapes(text))
+        counts[b"=previous"] = sum(map(eq, tokens, tokens[1:]))
         n = len(tokens)
-        return sorted({slot(f"{s}@{(n // c).bit_length()}") for s, c in counts.items() if c} | {slot(f"size@{n.bit_length()}")})
+        return sorted({slot(f"{s!r}@{(n // c).bit_length()}") for s, c in counts.items() if c} | {slot(f"size@{n.bit_length()}")})
 
     def scorer(self, weights: dict[int, float]):
         return lambda text: sum(weights.get(s, 0.0) for s in self(text))
