@@ -227,6 +227,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], source: Broadcast, column: str)
             yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "token_ids"])
 
 
+def _encoded_digests(batches: Iterator[pa.RecordBatch], source: Broadcast) -> Iterator[pa.RecordBatch]:
+    codec = _codec(source)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            flat, ends, said = [], [0], []
+            for chunk in _chunks(part.column("text").fill_null("").to_pylist()):
+                for own, words in codec.lookup(chunk, False):
+                    flat.append(np.fromiter(chain.from_iterable(own), np.int32))
+                    ends.append(ends[-1] + flat[-1].size)
+                    said.append(hashlib.sha256(" ".join(words).encode()).hexdigest())
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), ids, pa.array(said)], ["doc_id", "n_tokens", "token_ids", "decoded_sha256"])
+
+
 def _decoded(batches: Iterator[pa.RecordBatch], source: Broadcast) -> Iterator[pa.RecordBatch]:
     codec = _codec(source)
     for batch in batches:
@@ -247,6 +262,13 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     return docs.mapInArrow(lambda it: _encoded(it, source, column), schema)
 
 
+def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256): the ids of each whole text, and a digest of what they decode to."""
+    source = vocabulary(docs.sparkSession, path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return rows.mapInArrow(lambda it: _encoded_digests(it, source), "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with the text that its token_ids decode to; null ids decode to null."""
     encoded, source = encoded.drop("decoded"), vocabulary(encoded.sparkSession, path)

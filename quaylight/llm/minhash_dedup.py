@@ -228,3 +228,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     grouped = components(found.union(ids.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")).where("src <> dst")), "near")
     out = each.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """docs with one document of each component, all columns."""
+    gone = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
