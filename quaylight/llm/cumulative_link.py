@@ -131,23 +131,24 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty:
     if levels.size < 2:
         return Model({}, [], [int(levels[0]) if levels.size else 0])
     y = np.searchsorted(levels, grades)
-    row = np.repeat(np.arange(len(slots)), [s.size for s in slots])
-    col = np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, np.int64)
-    cells, value = np.unique(row << BITS | col, return_counts=True)
-    row, col = cells >> BITS, cells & ((1 << BITS) - 1)
-    # G statistic of presence against grade; chosen features only go on.
-    names, ids = np.unique(col, return_inverse=True)
     n, total = len(y), np.bincount(y, minlength=levels.size)
-    have = np.stack([np.bincount(ids[y[row] == k], minlength=names.size) for k in range(levels.size)], 1).astype(float)
-    df = have.sum(1, keepdims=True)
+    # Documents are gone through one by one: only the counts of all slots and the chosen features of all documents stay.
+    have = np.zeros((levels.size, 1 << BITS), np.uint16 if n < 1 << 16 else np.uint32)
+    for g, s in zip(y.tolist(), slots):
+        have[g, np.unique(s)] += 1
+    names = np.flatnonzero(have.sum(0, dtype=np.uint32) >= LEAST_DOCS)
+    own = have[:, names].T.astype(float)
+    del have
+    df = own.sum(1, keepdims=True)
     part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0)
-    g = 2 * (part(have, df * total / n) + part(total - have, (n - df) * total / n)).sum(1)
-    tested = df[:, 0] >= LEAST_DOCS
-    chosen = np.flatnonzero(tested & (g >= 2 * np.log(max(2, tested.sum()))))
-    place = np.full(names.size, -1)
+    g = 2 * (part(own, df * total / n) + part(total - own, (n - df) * total / n)).sum(1)
+    chosen = names[g >= 2 * np.log(max(2, names.size))]
+    place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(chosen.size)
-    ok = place[ids] >= 0
-    row, col, value = row[ok], place[ids[ok]], value[ok].astype(float)
+    found = [place[s] for s in slots]
+    found = [f[f >= 0] for f in found]
+    cells, value = np.unique(np.repeat(np.arange(n) << BITS, [f.size for f in found]) | np.concatenate(found), return_counts=True)
+    row, col, value = cells >> BITS, cells & ((1 << BITS) - 1), value.astype(float)
     w, k = np.zeros(chosen.size), levels.size - 1
     share = np.clip(np.cumsum(total)[:-1] / n, 1e-6, 1 - 1e-6)
     theta = np.log(share / (1 - share))
@@ -169,7 +170,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty:
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, raw = w - move[: w.size], raw - move[w.size :]
     theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-    return Model({int(s): float(x) for s, x in zip(names[chosen], w)}, theta.tolist(), levels.tolist())
+    return Model({int(s): float(x) for s, x in zip(chosen, w)}, theta.tolist(), levels.tolist())
 
 
 def _extract(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
