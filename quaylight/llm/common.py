@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -105,22 +105,25 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     the edges stay the same. Every round is written to the shared folder. Nulls and self-links are ignored.
     """
     pairs = edges.where("src is not null and dst is not null and src <> dst")
-    now = materialize(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), tag)
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and their number and the sum of their hashes, which are observed while they are written."""
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), tag)
+        return out, (seen.get["n"], seen.get["sum"])
 
-    before = state(now)
+    now, before = stored(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, tag)
-        release(now)
-        now, last, before = after, before, state(after)
-        if last == before:
+        last = now
+        now, after = stored(small)
+        release(last)
+        if after == before:
             break
+        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
