@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for other strings in a sensitive context.
 
 Patterns (kinds assign, access, hex) are matched leftmost and without overlap for each kind; a match that fails its
-length is dropped, yet what it covers isn't searched again. A span is the whole match, in code points, end exclusive.
+length is dropped, yet what it covers isn't searched again. A span is the secret itself, in code points, end exclusive: the
+value (group 2) of an assignment, the whole match of the other kinds.
 
 Novelty (kind novel): after a sensitive word, strings of letters and digits are candidates. A candidate's marginal size
 is what it adds to the compressed text around it, with a compressor primed with a dictionary of common identifiers. A
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The patterns, fixed values: kind, pattern, group whose length counts, least length.
+#: The patterns, fixed values: kind, pattern, group that is the secret, its least length.
 KINDS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
@@ -67,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, order of the kind, end) of the patterns' matches, sorted."""
     out = []
     for k, (_, pattern, group, least) in enumerate(KINDS):
-        out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+        out += [(m.start(group), k, m.end(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(out)
 
 

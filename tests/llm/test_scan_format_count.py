@@ -16,7 +16,8 @@ def brute(text):
     out = []
     for k, (kind, pattern, least) in enumerate((("assign", ASSIGN, 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))):
         flags = re.IGNORECASE | re.ASCII if kind == "assign" else 0
-        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "", flags) if len(m[2] if kind == "assign" else m[0]) >= least]
+        g = 2 if kind == "assign" else 0
+        out += [(m.start(g), k, f"{kind}:{m.start(g)}:{m.end(g)}") for m in re.finditer(pattern, text or "", flags) if len(m[g]) >= least]
     return [x for *_, x in sorted(out)]
 
 
