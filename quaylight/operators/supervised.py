@@ -9,7 +9,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -46,10 +46,7 @@ def _leaves(node, weight: float, path: dict, root: float, out: list) -> None:
 
 def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> Booster:
     """Boosted trees on features without NULLs, positives weighted by the negatives per positive."""
-    weight = scale_pos_weight(train, label).first()[0]
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", F.col(label).cast("double").alias("_y"))
-    rows = rows.withColumn("_w", F.when(F.col("_y") == 1, weight).otherwise(1.0))
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=True).fit(rows)
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=True).fit(_weighted(train, features, label))
     leaves: list = []
     for tree, w in zip(model.trees, model.treeWeights):
         root = tree._java_obj.rootNode()
@@ -57,7 +54,33 @@ def fit_booster(train: DataFrame, features: list[str], label: str, trees: int =
     return Booster(model, features, leaves)
 
 
-def predict(df: DataFrame, booster: Booster, out: str = "fraud_probability") -> DataFrame:
+@dataclass(frozen=True)
+class Classifier:
+    """Another fitted model with its features."""
+
+    model: object
+    features: list
+
+
+def _weighted(train: DataFrame, features: list[str], label: str) -> DataFrame:
+    weight = scale_pos_weight(train, label).first()[0]
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", F.col(label).cast("double").alias("_y"))
+    return rows.withColumn("_w", F.when(F.col("_y") == 1, weight).otherwise(1.0))
+
+
+def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42) -> Classifier:
+    """A random forest with sqrt(features) a split, positives weighted."""
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
+    return Classifier(forest.fit(_weighted(train, features, label)), features)
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000) -> Classifier:
+    """Logistic regression on standardised features, positives weighted."""
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations)
+    return Classifier(model.fit(_weighted(train, features, label)), features)
+
+
+def predict(df: DataFrame, booster: Booster | Classifier, out: str = "fraud_probability") -> DataFrame:
     rows = VectorAssembler(inputCols=booster.features, outputCol="_x").transform(df)
     raw = booster.model.transform(rows).withColumn(out, vector_to_array("probability")[1])
     return raw.drop("_x", "rawPrediction", "probability", "prediction")

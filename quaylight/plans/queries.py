@@ -442,6 +442,18 @@ def gbt_scores(spark, d):
     return supervised.predict(rows.where("split = 'test'"), booster).select(ID, "fraud_probability")
 
 
+@query
+def random_forest_scores(spark, d):
+    rows, features = _modelled(spark, d)
+    return supervised.predict(rows.where("split = 'test'"), supervised.fit_random_forest(rows.where("split = 'train'"), features, "analyst_confirmed_label", trees=10), "random_forest_probability").select(ID, "random_forest_probability")
+
+
+@query
+def logistic_scores(spark, d):
+    rows, features = _modelled(spark, d)
+    return supervised.predict(rows.where("split = 'test'"), supervised.fit_logistic(rows.where("split = 'train'"), features, "analyst_confirmed_label"), "logistic_probability").select(ID, "logistic_probability")
+
+
 @query
 def shap_top_features(spark, d):
     rows, features = _modelled(spark, d)

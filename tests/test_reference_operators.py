@@ -154,6 +154,8 @@ def test_shap_adds_up_and_models_rank(spark):
     scored, found = supervised.supervised_detection(df.where("payment_id < 300"), df.where("payment_id >= 300"), names, "y", trees=6, depth=3)
     assert found.first().roc_auc > 0.8 and scored.first().top_shap_features.count("(") == 3
     assert supervised.global_top_features(supervised.shap_values(df, booster), names, 1).first().feature == "a"
+    for other in (supervised.fit_random_forest(df, names, "y", trees=10), supervised.fit_logistic(df, names, "y")):
+        assert metrics.classification_metrics(supervised.predict(df, other), "y", "fraud_probability", 0.5).first().roc_auc > 0.8
     odd = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.vstack([rng.normal(size=(300, 2)), [[9.0, 9.0], [-9.0, 8.0]]]))], "payment_id long, a double, b double")
     top = anomaly.unsupervised_detection(odd, odd, ["a", "b"]).orderBy(F.desc("unsupervised_anomaly_score")).limit(2).collect()
     assert {r.payment_id for r in top} == {300, 301} and all(0 <= r.unsupervised_anomaly_score <= 1 for r in top)
