@@ -68,7 +68,7 @@ ORACLES = {
     "scan_limit": f"with {OR} select payment_id, customer_id, amount amount_usd_equivalent from p order by payment_id limit 100",
     "amount_units": f"with {OR} select payment_id, round(amount * 1000, 2) amount_usd_equivalent from p",
     "profile_nulls": f"with {OR}, {HOLED} " + " union all ".join(f"select '{c}' as column, count(*) as rows, count(*) - count({c}) nulls from h" for c in ("payment_id", "customer_id", "payment_timestamp", "amount_usd_equivalent", "payment_method", "transaction_channel")),
-    "pattern_parse": f"with {EDGES} select dense_rank() over (order by payment_format) - 1 attempt_id, 'FAN-' || payment_format[1] typology, count(*) n, round(sum(amount_paid), 2) amount, count(distinct from_node) senders, min(ts) as first from e where day < 60 group by payment_format",
+    "pattern_parse": f"with {EDGES} select dense_rank() over (order by payment_format) - 1 attempt_id, 'FAN-' || payment_format[1] typology, count(*) n, round(sum(amount_paid), 2) amount, count(distinct from_node) senders, strftime(min(ts), '%Y-%m-%d %H:%M') as first from e group by payment_format",
     "drop_missing_ts": f"with {OR}, {HOLED} select payment_id from h where payment_timestamp is not null",
     "dup_rows": f"with {OR} select (select count(*) from p) - count(*) duplicate_rows from (select distinct customer_id, payment_timestamp, payment_method from p)",
     "dup_keys": "select count(*) - count(distinct o_custkey) duplicate_keys from orders",
@@ -128,7 +128,7 @@ ORACLES = {
     **{name: f"with {EDGES} select {KEY}, day, amount_paid, (exists (select 1 from e b where b.from_node = e.to_node and b.to_node = e.from_node and b.day between e.day - {n - 1} and e.day))::int reciprocal_edge from e" for name, n in (("reciprocal_edge", 90), ("reciprocal_edge_4d", 4))},
     "attempt_recall": f"with {EDGES}, t as (select * from e where day >= 2000), a as (select b.payment_format typology, b.l_orderkey % 97 attempt, max((f.l_orderkey % 7 = 0)::int) caught from t b join t f on b.ts = f.ts and b.from_node = f.from_node and b.to_node = f.to_node and b.amount_paid::decimal(18, 2) = f.amount_paid::decimal(18, 2) where b.is_laundering = 1 group by 1, 2) select typology, sum(caught)::bigint caught, count(*) total, round(avg(caught), 6) rate from a group by 1",
     "ring_edges": "select * from (values (1001::bigint, 9001::bigint, 1), (1002, 9001, 1), (1003, 9001, 1), (1004, 9001, 1), (2001, 2002, 2), (2002, 2003, 2), (2003, 2001, 2), (3001, 3002, 3), (3001, 3003, 3), (3002, 3004, 3), (3003, 3004, 3)) t(customer_id, counterparty_account_id, true_ring_id)",
-    "connected_components": f"with recursive {EDGES}, x as (select distinct from_node a, to_node b from e where day between 100 and 140), y as (select a, b from x union select b, a from x), reach as (select a node, a other from y union select reach.node, y.b from reach join y on y.a = reach.other) select node, min(other) component from reach group by 1",
+    "connected_components": f"with recursive {EDGES}, x as (select distinct from_node || '@' || day a, to_node || '@' || day b from e), y as (select a, b from x union select b, a from x), reach as (select a node, a other from y union select reach.node, y.b from reach join y on y.a = reach.other) select node, min(other) component from reach group by 1",
     "ring_benchmark": "select * from (values (1, 5::bigint, 1::bigint, 'full'), (2, 3, 1, 'full'), (3, 4, 1, 'full')) t(ring, members, components, status)",
 }
 ORACLES["validation_report"] = (

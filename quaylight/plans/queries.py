@@ -53,17 +53,17 @@ def profile_nulls(spark, d):
 
 @query
 def pattern_parse(spark, d):
-    """A pattern file made from the largest transfers: one attempt for each format, in order."""
-    e = edges(spark, d).where("day < 60")
+    """A pattern file made from all transfers: one attempt for each format, in order."""
+    e = edges(spark, d)
     w = "partition by payment_format order by timestamp, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, amount_paid"
     rows = e.withColumn("n", F.expr(f"row_number() over ({w})")).withColumn("f", F.expr("dense_rank() over (order by payment_format)"))
-    said = F.concat_ws(",", F.date_format("timestamp", "yyyy/MM/dd HH:mm"), F.split_part("from_node", F.lit("_"), F.lit(1)), F.split_part("from_node", F.lit("_"), F.lit(2)), F.split_part("to_node", F.lit("_"), F.lit(1)), F.split_part("to_node", F.lit("_"), F.lit(2)), F.lit("0"), F.lit("US Dollar"), F.col("amount_paid").cast("string"))
-    line = rows.select((F.col("f") * 1_000_000 + F.col("n")).alias("line_no"), said.alias("value"))
+    said = F.concat_ws(",", F.date_format("timestamp", "yyyy/MM/dd HH:mm"), F.split_part("from_node", F.lit("_"), F.lit(1)), F.split_part("from_node", F.lit("_"), F.lit(2)), F.split_part("to_node", F.lit("_"), F.lit(1)), F.split_part("to_node", F.lit("_"), F.lit(2)), F.lit("0"), F.lit("US Dollar"), F.format_string("%.2f", "amount_paid"))
+    line = rows.select((F.col("f") * 1_000_000_000_000 + F.col("n")).alias("line_no"), said.alias("value"))
     heads = rows.select("f", "payment_format").distinct()
-    begin = heads.select((F.col("f") * 1_000_000).alias("line_no"), F.concat(F.lit("BEGIN LAUNDERING ATTEMPT - FAN-"), F.substring("payment_format", 1, 1), F.lit(":  Max 3-degree")).alias("value"))
-    end = heads.select((F.col("f") * 1_000_000 + 999_999).alias("line_no"), F.lit("END LAUNDERING ATTEMPT").alias("value"))
+    begin = heads.select((F.col("f") * 1_000_000_000_000).alias("line_no"), F.concat(F.lit("BEGIN LAUNDERING ATTEMPT - FAN-"), F.substring("payment_format", 1, 1), F.lit(":  Max 3-degree")).alias("value"))
+    end = heads.select((F.col("f") * 1_000_000_000_000 + 999_999_999_999).alias("line_no"), F.lit("END LAUNDERING ATTEMPT").alias("value"))
     found = tables.parse_patterns(line.union(begin).union(end))
-    return found.groupBy("attempt_id", "typology").agg(F.count("*").alias("n"), F.round(F.sum("amount_paid"), 2).alias("amount"), F.count_distinct("from_node").alias("senders"), F.min("timestamp").alias("first"))
+    return found.groupBy("attempt_id", "typology").agg(F.count("*").alias("n"), F.round(F.sum("amount_paid"), 2).alias("amount"), F.count_distinct("from_node").alias("senders"), F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm").alias("first"))
 
 
 # Validation
@@ -382,7 +382,8 @@ QUERIES["passthrough"] = _graph("src_passthrough", "dst_passthrough", days=30)
 
 @query
 def attempt_recall(spark, d):
-    e = edges(spark, d).where("day >= 2000")
+    """Recall on the test days, which are a split of the operator's own."""
+    e = split.day_split(edges(spark, d), "day", TRAIN_DAY, TEST_DAY).where("split = 'test'")
     flagged = e.select("timestamp", "from_node", "to_node", "amount_paid", (F.col("l_orderkey") % 7 == 0).cast("int").alias("flag"))
     patterns = e.where("is_laundering = 1").select((F.col("l_orderkey") % 97).alias("attempt_id"), F.col("payment_format").alias("typology"), "timestamp", "from_node", "to_node", "amount_paid")
     return graph.attempt_recall(flagged, patterns).select("typology", "caught", "total", *_r("rate"))
@@ -395,8 +396,9 @@ def ring_edges(spark, d):
 
 @query
 def connected_components(spark, d):
-    e = edges(spark, d).where("day between 100 and 140")
-    return components.connected_components(e.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst")))
+    """All transfers, linking accounts within a day."""
+    at = lambda c: F.concat_ws("@", c, F.col("day").cast("string"))
+    return components.connected_components(edges(spark, d).select(at("from_node").alias("src"), at("to_node").alias("dst")))
 
 
 @query

@@ -139,17 +139,21 @@ def read_transfers(spark: SparkSession, path: str, limit: int | None = None, dro
     return out.where("from_node <> to_node") if drop_self_transfers else out
 
 
-def parse_patterns(lines: DataFrame) -> DataFrame:
+def parse_patterns(lines: DataFrame, block: int = 100_000) -> DataFrame:
     """(attempt_id, typology, timestamp, from_node, to_node, amount_paid) of pattern lines (line_no, value).
 
-    A BEGIN line opens an attempt, numbered from 0; other lines but END ones and blanks are its transfers. The file is small
-    (an answer key), so its lines are numbered in one order.
+    A BEGIN line opens an attempt, numbered from 0; other lines but END ones and blanks are its transfers. Lines are ordered
+    within blocks of `block` numbers only; a scan over one row for each block carries attempts across their borders.
     """
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    said = lines.withColumn("value", F.trim("value"))
-    found = F.regexp_extract("value", "BEGIN LAUNDERING ATTEMPT - ([A-Z-]+)", 1)
+    said = lines.select("line_no", F.trim("value").alias("value")).withColumn("block", F.floor(F.col("line_no") / block))
     begin = F.col("value").startswith("BEGIN LAUNDERING ATTEMPT")
-    marked = said.select("line_no", "value", (F.sum(begin.cast("int")).over(order) - 1).alias("attempt_id"), F.last(F.when(begin, found), True).over(order).alias("typology"))
+    said = said.withColumn("begin", begin.cast("int")).withColumn("found", F.when(begin, F.regexp_extract("value", "BEGIN LAUNDERING ATTEMPT - ([A-Z-]+)", 1)))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = said.groupBy("block").agg(F.sum("begin").alias("n"), F.max_by("found", F.when(F.col("begin") == 1, F.col("line_no"))).alias("last"))
+    carried = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.last("last", True).over(before).alias("carry"))
+    order = Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = said.select("block", "value", F.sum("begin").over(order).alias("k"), F.last("found", True).over(order).alias("own")).join(carried, "block")
+    marked = own.select("value", (F.col("base") + F.col("k") - 1).alias("attempt_id"), F.coalesce("own", "carry").alias("typology"))
     part = F.split("value", ",")
     return marked.where("value <> '' and not startswith(value, 'BEGIN') and not startswith(value, 'END') and attempt_id >= 0").select(
         F.col("attempt_id").cast("long").alias("attempt_id"), "typology", F.to_timestamp(part[0], "yyyy/MM/dd HH:mm").alias("timestamp"),
