@@ -21,11 +21,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    The folder goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quaylight-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaylight.llm.common import components, materialize, spanning_edges, unclash
 
@@ -96,28 +97,33 @@ def _place(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], eps:
         yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, k]) for k in range(CELL_AXES)]], [*batch.schema.names, *[f"c{k}" for k in range(CELL_AXES)]])
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each row's partition and its place there."""
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int64)), pa.array(np.arange(n, n + batch.num_rows))], [*batch.schema.names, "part", "place"])
+        n += batch.num_rows
+
+
 def _cut(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Intervals of the sorted sequence, with their boxes."""
+    """Intervals of the sorted sequence, with their boxes. Rows come by interval."""
     names = ["block", "dim", "c0", "d0", "c1", "d1", "low", "high", "reps", "counts", "vectors"]
     held: list[dict] = []
-    made = 0
 
     def block() -> pa.RecordBatch:
-        nonlocal made
         d = held[0]["dim"]
         m = _stack([r["vector"] for r in held], d)
         p = m @ axes[d] if d in axes else np.zeros((len(m), 1))
         p = np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
         c = [(min(r[k] for r in held), max(r[k] for r in held)) for k in ("c0", "c1")]
-        row = [TaskContext.get().partitionId() << 32 | made, d, *c[0], *c[1], p.min(0).tolist(), p.max(0).tolist(), np.array([r["rep"] for r in held], np.int64).tobytes(), np.array([r["n"] for r in held], np.int64).tobytes(), m.tobytes()]
-        made += 1
+        row = [held[0]["block"], d, *c[0], *c[1], p.min(0).tolist(), p.max(0).tolist(), np.array([r["rep"] for r in held], np.int64).tobytes(), np.array([r["n"] for r in held], np.int64).tobytes(), m.tobytes()]
         held.clear()
         types = [pa.int64(), *[pa.int32()] * 5, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
     for batch in batches:
         for r in batch.to_pylist():
-            if held and (r["dim"] != held[0]["dim"] or len(held) * r["dim"] * 8 >= BLOCK_BYTES):
+            if held and r["block"] != held[0]["block"]:
                 yield block()
             held.append(r)
     if held:
@@ -199,7 +205,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     placed = materialize(placed, "cells")
     schema = "block long, dim int, c0 int, d0 int, c1 int, d1 int, low array<double>, high array<double>, reps binary, counts binary, vectors binary"
     ordered = placed.repartitionByRange("dim", *cells, "rep").sortWithinPartitions("dim", *cells, "rep")
-    blocks = materialize(ordered.mapInArrow(lambda it: _cut(it, axes), schema), "blocks")
+    ordered = materialize(ordered.mapInArrow(_number, T.StructType([*placed.schema, T.StructField("part", T.LongType()), T.StructField("place", T.LongType())])), "ordered")
+    # A row's place in the whole sequence: partitions before it are added from one row for each. So intervals have their
+    # full size however many partitions there are.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = ordered.join(base, "part").withColumn("place", F.col("base") + F.col("place")).drop("base", "part")
+    size = f"greatest(1L, cast({BLOCK_BYTES} div (8 * dim) as long))"
+    numbered = numbered.withColumn("block", F.expr(f"cast(dim as long) * {1 << 40} + place div {size}"))
+    blocks = materialize(numbered.repartition("block").sortWithinPartitions("block", "place").mapInArrow(lambda it: _cut(it, axes), schema), "blocks")
 
     boxes = blocks.select("block", "dim", "c0", "d0", "c1", "d1", "low", "high")
     own = boxes.withColumn("x", F.explode(F.expr("sequence(c0, d0)"))).withColumn("y", F.explode(F.expr("sequence(c1, d1)"))).select("dim", "x", "y", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))

@@ -25,7 +25,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import materialize, scratch_root
+from quaylight.llm.common import at_end, materialize, scratch_root
 
 #: The public byte-level pre-tokenizer pattern, a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,9 +69,12 @@ def _write(batches: Iterator[pa.RecordBatch], ranks: Broadcast, folder: str, eod
 def write_token_files(docs: DataFrame, ranks_path: str, eod: int, folder: str | None = None, dtype: str = "<u2") -> tuple[str, DataFrame]:
     """Encode each whole text into flat token files in a folder; the folder, and (file, ordinal, doc_id)."""
     spark = docs.sparkSession
+    own = folder is None
     folder = folder or f"{scratch_root(spark)}/quaylight-tokens-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    if own:
+        at_end(spark, folder)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
