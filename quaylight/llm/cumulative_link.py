@@ -42,28 +42,37 @@ def slot(feature: str) -> int:
 class ToxicFeatures:
     """The distinct words of a text in lower case, and the prefixes of four and five characters of longer ones.
 
-    The upper half of a slot comes from the word's first four characters, so those alone tell of most words that none of
-    their features has a weight.
+    Each word gives three slots, -1 for a prefix that it is too short for. A fitted model knows the starts of four
+    characters that words with a weight have, so most words are passed over after a look at their start.
     """
 
-    half = BITS // 2
-
-    def of_word(self, word: str) -> list[int]:
-        upper = slot(word[:4]) >> self.half << self.half
-        return [upper | slot(f) >> self.half for f in (word, *[f"^{word[:k]}" for k in (4, 5) if len(word) > k])]
+    def of_word(self, word: str) -> tuple[int, int, int]:
+        return slot(word), slot(f"^{word[:4]}") if len(word) > 4 else -1, slot(f"^{word[:5]}") if len(word) > 5 else -1
 
     def __call__(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.of_word, set(_WORD.findall(text.lower())))))
 
-    def scorer(self, weights: dict[int, float]):
+    @staticmethod
+    def starts(slots: list[np.ndarray], weights: dict[int, float]) -> frozenset[int]:
+        """The four-character slots of all words that have a slot with a weight."""
+        weighted = np.zeros(1 << BITS, bool)
+        weighted[list(weights)] = True
+        out: set[int] = set()
+        for s in slots:
+            triples = s.reshape(-1, 3)
+            hit = (weighted[triples] & (triples >= 0)).any(1)
+            out.update(triples[hit, 1].tolist())
+        return frozenset(out)
+
+    def scorer(self, model: Model):
         """The score is a sum over distinct words."""
-        uppers = {s >> self.half for s in weights}
+        weights, starts = model.weights, model.starts
 
         class Gate(dict):
             def __missing__(gate, start: str) -> bool:
                 if len(gate) > CACHE:
                     gate.clear()
-                gate[start] = found = slot(start) >> self.half in uppers
+                gate[start] = found = slot(start) in weights or slot(f"^{start}") in starts
                 return found
 
         gate = Gate()
@@ -104,8 +113,12 @@ class QualityFeatures:
         n = len(tokens)
         return sorted({slot(f"{s!r}@{(n // c).bit_length()}") for s, c in counts.items() if c} | {slot(f"size@{n.bit_length()}")})
 
-    def scorer(self, weights: dict[int, float]):
-        return lambda text: sum(weights.get(s, 0.0) for s in self(text))
+    @staticmethod
+    def starts(slots: list[np.ndarray], weights: dict[int, float]) -> frozenset[int]:
+        return frozenset()
+
+    def scorer(self, model: Model):
+        return lambda text: sum(model.weights.get(s, 0.0) for s in self(text))
 
 
 EXTRACTORS = {"toxic": ToxicFeatures, "quality": QualityFeatures}
@@ -114,8 +127,8 @@ EXTRACTORS = {"toxic": ToxicFeatures, "quality": QualityFeatures}
 class Model:
     """Weights by slot and ordered thresholds."""
 
-    def __init__(self, weights: dict[int, float], thresholds: list[float], grades: list[int]):
-        self.weights, self.thresholds, self.grades = weights, thresholds, grades
+    def __init__(self, weights: dict[int, float], thresholds: list[float], grades: list[int], starts: frozenset[int] = frozenset()):
+        self.weights, self.thresholds, self.grades, self.starts = weights, thresholds, grades, starts
 
     def tails(self, z: np.ndarray) -> np.ndarray:
         """(rows, grades - 1): P(y >= grades[k + 1])."""
@@ -135,7 +148,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty:
     # Documents are gone through one by one: only the counts of all slots and the chosen features of all documents stay.
     have = np.zeros((levels.size, 1 << BITS), np.uint16 if n < 1 << 16 else np.uint32)
     for g, s in zip(y.tolist(), slots):
-        have[g, np.unique(s)] += 1
+        have[g, np.unique(s[s >= 0])] += 1
     names = np.flatnonzero(have.sum(0, dtype=np.uint32) >= LEAST_DOCS)
     own = have[:, names].T.astype(float)
     del have
@@ -145,7 +158,7 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty:
     chosen = names[g >= 2 * np.log(max(2, names.size))]
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(chosen.size)
-    found = [place[s] for s in slots]
+    found = [place[s[s >= 0]] for s in slots]
     found = [f[f >= 0] for f in found]
     cells, value = np.unique(np.repeat(np.arange(n) << BITS, [f.size for f in found]) | np.concatenate(found), return_counts=True)
     row, col, value = cells >> BITS, cells & ((1 << BITS) - 1), value.astype(float)
@@ -187,11 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, kind: str, labelled: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(lambda it: _extract(it, kind), "doc_id long, grade int, slots binary")
     rows = sorted(map(tuple, found.collect()))
-    return fit([np.frombuffer(s, np.int32) for *_, s in rows], np.array([g for _, g, _ in rows], np.int64))
+    slots = [np.frombuffer(s, np.int32) for *_, s in rows]
+    model = fit(slots, np.array([g for _, g, _ in rows], np.int64))
+    model.starts = EXTRACTORS[kind].starts(slots, model.weights)
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, kind: str) -> Iterator[pa.RecordBatch]:
-    score = EXTRACTORS[kind]().scorer(model.weights)
+    score = EXTRACTORS[kind]().scorer(model)
     for batch in batches:
         z = np.array([score(t) for t in batch.column("text").fill_null("").to_pylist()], float)
         tails = model.tails(z) if model.thresholds else np.zeros((len(z), 0))
