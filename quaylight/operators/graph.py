@@ -6,7 +6,7 @@ and partial aggregations; there is no range join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.columns import flag
@@ -33,6 +33,19 @@ def _active(edges: DataFrame, days: int, last_day: int) -> DataFrame:
     return spread.groupBy("src", "dst", "day").agg(F.sum("n").alias("n"))
 
 
+def reciprocal_edges(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """edges with reciprocal_edge: whether the reverse edge occurs in the last `days` days, the day itself included; NULL before day 0.
+
+    The days of an edge and of its reverse meet in one ordered group, where the latest reverse day is a running maximum;
+    nothing is exploded, however long the window is.
+    """
+    once = edges.where("day >= 0").select("from_node", "to_node", "day").distinct()
+    met = once.select("from_node", "to_node", "day", F.lit(None).cast("int").alias("back")).union(once.select("to_node", "from_node", "day", F.col("day").cast("int")))
+    latest = F.max("back").over(Window.partitionBy("from_node", "to_node").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    known = met.withColumn("latest", latest).where("back is null").select("from_node", "to_node", "day", flag(F.col("latest") > F.col("day") - days).alias("reciprocal_edge"))
+    return edges.join(known, ["from_node", "to_node", "day"], "left")
+
+
 def graph_features(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """The edges (from_node, to_node, day, ...) with eight features of the last `days` days, the day itself included. Days before 0 get NULL."""
     last = edges.agg(F.max("day")).first()[0]
@@ -42,10 +55,8 @@ def graph_features(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     node = out_side.join(in_side, ["node", "day"], "full").na.fill(0)
     src = node.select(F.col("node").alias("from_node"), "day", F.col("out_degree").alias("src_out_degree"), F.col("out_count").alias("src_out_count"), F.col("in_degree").alias("src_in_degree"))
     dst = node.select(F.col("node").alias("to_node"), "day", F.col("in_degree").alias("dst_in_degree"), F.col("in_count").alias("dst_in_count"), F.col("out_degree").alias("dst_out_degree"))
-    back = pairs.select(F.col("dst").alias("from_node"), F.col("src").alias("to_node"), "day", F.lit(1).alias("reciprocal_edge"))
-    out = edges.join(src, ["from_node", "day"], "left").join(dst, ["to_node", "day"], "left").join(back, ["from_node", "to_node", "day"], "left")
+    out = reciprocal_edges(edges.join(src, ["from_node", "day"], "left").join(dst, ["to_node", "day"], "left"), days)
     return out.withColumns({
-        "reciprocal_edge": F.when(F.col("day") >= 0, F.coalesce("reciprocal_edge", F.lit(0))),
         "src_passthrough": F.least("src_in_degree", "src_out_degree"), "dst_passthrough": F.least("dst_in_degree", "dst_out_degree"),
     })
 

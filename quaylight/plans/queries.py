@@ -375,7 +375,7 @@ def _graph(*columns, days=4):
 
 
 QUERIES["trailing_degrees"] = _graph("src_out_degree", "src_out_count", "src_in_degree", "dst_in_degree", "dst_in_count", "dst_out_degree")
-QUERIES["reciprocal_edge"] = _graph("reciprocal_edge", days=90)
+QUERIES["reciprocal_edge"] = lambda spark, d: graph.reciprocal_edges(edges(spark, d), 90).select(*EDGE, "day", "amount_paid", "reciprocal_edge")
 QUERIES["reciprocal_edge_4d"] = _graph("reciprocal_edge")
 QUERIES["passthrough"] = _graph("src_passthrough", "dst_passthrough", days=30)
 
