@@ -169,6 +169,56 @@ def test_lines_with_a_changed_word_are_found(spark):
     assert all(r.doc_id % 2 for r in got) and len(got) >= 70
 
 
+def edited(rng, words, edits):
+    words = list(words)
+    for at in sorted(rng.sample(range(len(words)), edits), reverse=True):
+        kind = rng.randrange(3)
+        words[at : at + 1] = [[f"new{rng.randrange(10**9)}"], [], [words[at], f"new{rng.randrange(10**9)}"]][kind]
+    return words
+
+
+def word_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def dropped_by_brute_force(texts):
+    """The numbers of the one-line texts that are not the first of their group of linked texts; lines under five words stay."""
+    words = [t.split() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = max(len(words[i]), len(words[j]))
+            if min(len(words[i]), len(words[j])) >= 5 and abs(len(words[i]) - len(words[j])) <= n // 5 and word_distance(words[i], words[j]) <= n // 5:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if find(i) != i}
+
+
+def test_line_dedup_finds_every_pair_of_the_similarity(spark):
+    """Lines with as many changed words as 0.8 allows, and one more, against all pairs."""
+    rng = random.Random(8)
+    texts = []
+    for n in [*range(5, 31), 40, 59, 60, 61]:
+        for over in (0, 0, 1):
+            a = [rng.choice(WORDS) for _ in range(n)]
+            texts += [" ".join(a), " ".join(edited(rng, a, n // 5 + over))]
+    got = {r.doc_id for r in line_dedup.decisions(frame(spark, enumerate(texts))).where("n_dropped > 0").collect()}
+    want = dropped_by_brute_force(texts)
+    assert got == want and 30 < len(want) < 90
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
