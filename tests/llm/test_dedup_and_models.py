@@ -219,6 +219,21 @@ def test_line_dedup_finds_every_pair_of_the_similarity(spark):
     assert got == want and 30 < len(want) < 90
 
 
+@pytest.mark.parametrize("block", [line_dedup.BUCKET_BLOCK, 8])
+def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch, block):
+    """Small groups whose fingerprints are all equal, as the lines hold the same words, and that share a common piece."""
+    monkeypatch.setattr(line_dedup, "BUCKET_BLOCK", block)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        a = WORDS[:20]
+        rng.shuffle(a)
+        b = [*a[:15], a[16], a[15], *a[17:]]
+        texts += [" ".join([*"one piece of all".split(), *x]) for x in (a, b)]
+    got = {r.doc_id for r in line_dedup.decisions(frame(spark, enumerate(texts))).where("n_dropped > 0").collect()}
+    assert got == dropped_by_brute_force(texts) == set(range(1, 80, 2))
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
