@@ -234,6 +234,15 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch, block):
     assert got == dropped_by_brute_force(texts) == set(range(1, 80, 2))
 
 
+def test_line_dedup_links_very_long_lines(spark):
+    """Lines too long for a fingerprint meet their near copies, with few edits and with nearly as many as 0.8 allows."""
+    rng = random.Random(10)
+    a, b = ([f"w{rng.randrange(5000)}" for _ in range(n)] for n in (20_000, 17_000))
+    texts = [" ".join(x) for x in (a, edited(rng, a, 5), b, edited(rng, b, 3300), a[::-1])]
+    got = {r.doc_id for r in line_dedup.decisions(frame(spark, enumerate(texts))).where("n_dropped > 0").collect()}
+    assert got == {1, 3}
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
