@@ -440,14 +440,14 @@ def unsupervised_ensemble(spark, d):
 @query
 def gbt_scores(spark, d):
     rows, features = _modelled(spark, d)
-    booster = supervised.fit_booster(rows.where("split = 'train'"), features, "analyst_confirmed_label", trees=10)
+    booster = supervised.fit_booster(rows.where("split = 'train'"), features, "analyst_confirmed_label")
     return supervised.predict(rows.where("split = 'test'"), booster).select(ID, "fraud_probability")
 
 
 @query
 def random_forest_scores(spark, d):
     rows, features = _modelled(spark, d)
-    return supervised.predict(rows.where("split = 'test'"), supervised.fit_random_forest(rows.where("split = 'train'"), features, "analyst_confirmed_label", trees=10), "random_forest_probability").select(ID, "random_forest_probability")
+    return supervised.predict(rows.where("split = 'test'"), supervised.fit_random_forest(rows.where("split = 'train'"), features, "analyst_confirmed_label"), "random_forest_probability").select(ID, "random_forest_probability")
 
 
 @query
@@ -459,7 +459,7 @@ def logistic_scores(spark, d):
 @query
 def shap_top_features(spark, d):
     rows, features = _modelled(spark, d)
-    scored, _ = supervised.supervised_detection(rows.where("split = 'train'"), rows.where("split = 'test'"), features, trees=5, depth=4)
+    scored, _ = supervised.supervised_detection(rows.where("split = 'train'"), rows.where("split = 'test'"), features)
     return scored.select(ID, "fraud_probability", "fraud_prediction_flag", "top_shap_features")
 
 
@@ -471,7 +471,7 @@ def graph_ablation(spark, d):
     rows = split.day_split(graph.graph_features(graph.transaction_features(edges(spark, d), start="1995-01-01")), "day", TRAIN_DAY, TEST_DAY).na.fill(0).cache()
     out = None
     for name, features in (("transaction", plain), ("transaction_graph", plain + more)):
-        booster = supervised.fit_booster(rows.where("split = 'train'"), features, "is_laundering", trees=5, depth=5)
+        booster = supervised.fit_booster(rows.where("split = 'train'"), features, "is_laundering", trees=300, depth=6)
         tuned = metrics.best_threshold(supervised.predict(rows.where("split = 'validation'"), booster), "is_laundering", "fraud_probability").first()
         found = metrics.classification_metrics(supervised.predict(rows.where("split = 'test'"), booster), "is_laundering", "fraud_probability", tuned.threshold if tuned else 0.5)
         found = found.select(F.lit(name).alias("model"), "*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quaylight import config, contract
 from quaylight.functions import quantiles
 from quaylight.operators import anomaly, components, encode, fusion, graph, history, labels, metrics, rings, rules, split, stats, supervised, validate
+from quaylight.plans import queries
 from quaylight.plans.preprocess import preprocess
 from quaylight.sources import tables
 from quaylight.streaming import rules as streams
@@ -270,3 +271,17 @@ def test_entry_and_names(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1000
+
+
+@pytest.mark.parametrize("name, model, size", [("gbt_scores", "GBTClassifier", (100, 5)), ("random_forest_scores", "RandomForestClassifier", (100, 5)), ("shap_top_features", "GBTClassifier", (100, 5)), ("graph_ablation", "GBTClassifier", (300, 6))])
+def test_model_queries_fit_the_surveyed_size(spark, monkeypatch, name, model, size):
+    class Asked(Exception):
+        pass
+
+    def asked(**given):
+        raise Asked(given.get("maxIter", given.get("numTrees")), given["maxDepth"])
+
+    monkeypatch.setattr(supervised, model, asked)
+    with pytest.raises(Asked) as got:
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == size
