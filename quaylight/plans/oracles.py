@@ -129,6 +129,7 @@ ORACLES = {
     "attempt_recall": f"with {EDGES}, t as (select * from e where day >= 2000), a as (select b.payment_format typology, b.l_orderkey % 97 attempt, max((f.l_orderkey % 7 = 0)::int) caught from t b join t f on b.ts = f.ts and b.from_node = f.from_node and b.to_node = f.to_node and b.amount_paid::decimal(18, 2) = f.amount_paid::decimal(18, 2) where b.is_laundering = 1 group by 1, 2) select typology, sum(caught)::bigint caught, count(*) total, round(avg(caught), 6) rate from a group by 1",
     "ring_edges": "select * from (values (1001::bigint, 9001::bigint, 1), (1002, 9001, 1), (1003, 9001, 1), (1004, 9001, 1), (2001, 2002, 2), (2002, 2003, 2), (2003, 2001, 2), (3001, 3002, 3), (3001, 3003, 3), (3002, 3004, 3), (3003, 3004, 3)) t(customer_id, counterparty_account_id, true_ring_id)",
     "connected_components": f"with recursive {EDGES}, x as (select distinct from_node || '@' || day a, to_node || '@' || day b from e), y as (select a, b from x union select b, a from x), reach as (select a node, a other from y union select reach.node, y.b from reach join y on y.a = reach.other) select node, min(other) component from reach group by 1",
+    "account_components": f"with recursive {EDGES}, y as (select from_node a, to_node b from e union select to_node, from_node from e), reach as (select a node, a other from y union select reach.node, y.b from reach join y on y.a = reach.other) select node, min(other) component from reach group by 1",
     "ring_benchmark": "select * from (values (1, 5::bigint, 1::bigint, 'full'), (2, 3, 1, 'full'), (3, 4, 1, 'full')) t(ring, members, components, status)",
 }
 ORACLES["validation_report"] = (

@@ -401,6 +401,12 @@ def connected_components(spark, d):
     return components.connected_components(edges(spark, d).select(at("from_node").alias("src"), at("to_node").alias("dst")))
 
 
+@query
+def account_components(spark, d):
+    """The account graph over all transfers: one node for each account, whatever the day."""
+    return components.connected_components(edges(spark, d).select(F.col("from_node").alias("src"), F.col("to_node").alias("dst")))
+
+
 @query
 def ring_benchmark(spark, d):
     return rings.ring_recovery(rings.benchmark_edges(spark))

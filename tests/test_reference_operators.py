@@ -15,6 +15,7 @@ from quaylight.operators import anomaly, components, encode, fusion, graph, hist
 from quaylight.plans import queries
 from quaylight.plans.preprocess import preprocess
 from quaylight.sources import tables
+from quaylight.sources.adapters import edges
 from quaylight.streaming import rules as streams
 
 
@@ -273,6 +274,21 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 1000
 
 
+def test_account_components_span_days(spark):
+    d = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges(spark, d).select("from_node", "to_node").distinct().collect():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert dict(queries.QUERIES["account_components"](spark, d).collect()) == {x: find(x) for x in root}
+
+
 @pytest.mark.parametrize("name, model, size", [("gbt_scores", "GBTClassifier", (100, 5)), ("random_forest_scores", "RandomForestClassifier", (100, 5)), ("shap_top_features", "GBTClassifier", (100, 5)), ("graph_ablation", "GBTClassifier", (300, 6))])
 def test_model_queries_fit_the_surveyed_size(spark, monkeypatch, name, model, size):
     class Asked(Exception):
