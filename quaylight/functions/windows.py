@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from quaylight.functions.columns import micros
 
 DAY = 86_400_000_000
-STEP = 1_000_000
+#: More than the rows of any customer, so that a place never spills into the time; times of 10**17 microseconds fit in.
+STEP = 10**12
 ORDER = "_order_key"
 
 
 def with_order_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """df with the order key of its rows within `key`. A customer may have up to a million rows."""
+    """df with the order key of its rows within `key`."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(ts, tie))
-    return df.withColumn(ORDER, micros(F.col(ts)).cast("decimal(38,0)") * F.lit(STEP).cast("decimal(7,0)") + place)
+    return df.withColumn(ORDER, micros(F.col(ts)).cast("decimal(38,0)") * F.lit(STEP).cast("decimal(13,0)") + place)
 
 
 def trailing(expression: str, key: str, width: int, inclusive: bool = False) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylight import config, contract
-from quaylight.functions import quantiles
+from quaylight.functions import quantiles, windows
 from quaylight.operators import anomaly, components, encode, fusion, graph, history, labels, metrics, rings, rules, split, stats, supervised, validate
 from quaylight.plans import queries
 from quaylight.plans.preprocess import preprocess
@@ -274,6 +274,15 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 1000
 
 
+def test_border_rows_over_a_million_places_back_stay_in_the_frame(spark):
+    last = 1_000_001
+    time = F.when(F.col("id") == last, F.lit(ts(2))).otherwise(F.when(F.col("id") == 0, F.lit(ts(1))).otherwise(F.lit(ts(1, 12))))
+    keyed = windows.with_order_key(spark.range(last + 1).select(F.lit(1).alias("customer_id"), F.col("id").alias("payment_id"), time.alias("t")), "customer_id", "t", "payment_id")
+    ends = keyed.where(F.col("payment_id").isin(0, last))
+    assert rows(ends.withColumn("n", windows.trailing("count(*)", "customer_id", windows.DAY)), "n") == [(0,), (1,)]
+    assert rows(ends.withColumn("n", windows.trailing("count(*)", "customer_id", windows.DAY - 1)), "n") == [(0,), (0,)]
+
+
 def test_account_components_span_days(spark):
     d = "/root/testdata/sf0.001"
     root = {}
