@@ -243,6 +243,12 @@ def test_line_dedup_links_very_long_lines(spark):
     assert got == {1, 3}
 
 
+def test_line_dedup_splits_words_at_any_white_space(spark):
+    texts = ["one\ttwo\tthree\tfour\tfive\tsix", "one\ttwo\tthree\tfour\tfive\tsix", "one\u3000two\u00a0three four five other"]
+    got = {r.doc_id for r in line_dedup.decisions(frame(spark, enumerate(texts))).where("n_dropped > 0").collect()}
+    assert got == {1, 2}
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
