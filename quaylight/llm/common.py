@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of two numbers that may be broadcast.
+SMALL_ROWS = 1_000_000
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own one if it is unset."""
@@ -53,6 +56,11 @@ def unclash(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, a stored table of two numbers a row or less, to be broadcast if it has at most `most` rows (16 MB); beyond that joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches sorted by keys: tables of whole groups, with the offsets of the groups in each table.
 
