@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table of two numbers that may be broadcast.
-SMALL_ROWS = 1_000_000
+#: Rows of a table of a few numbers that may be broadcast.
+SMALL_ROWS = 500_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,7 +57,7 @@ def unclash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df, a stored table of two numbers a row or less, to be broadcast if it has at most `most` rows (16 MB); beyond that joins shuffle."""
+    """df, a stored table of a few numbers a row, to be broadcast if it has at most `most` rows (some 30 MB); beyond that joins shuffle."""
     return F.broadcast(df) if df.count() <= most else df
 
 
