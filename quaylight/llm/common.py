@@ -44,6 +44,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark deletes the shuffle files of stored tables' jobs, which nothing reads again."""
+    spark._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote for df. Only for tables that no later result reads."""
     jvm = df.sparkSession._jvm
