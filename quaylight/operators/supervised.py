@@ -9,7 +9,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,41 +17,39 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.columns import flag
 from quaylight.operators.metrics import best_threshold, classification_metrics, scale_pos_weight
+from quaylight.operators.trees import GBTClassifier, RandomForestClassifier, Tree
+
+#: Labelled rows that trees are fitted on at most: those of lowest hash over all columns. Weights are those of all rows.
+LABELLED = 100_000
 
 
 @dataclass(frozen=True)
 class Booster:
-    """A fitted model with its features, and what the explanations need of its trees."""
+    """Boosted trees with their features, and what the explanations need of them."""
 
-    model: object
+    trees: list[Tree]
     features: list
-    leaves: list
+
+    @property
+    def leaves(self) -> list[dict]:
+        return [leaf for tree in self.trees for leaf in tree.leaves()]
 
     def margin_base(self) -> float:
         return sum(leaf["value"] * np.prod(leaf["zero"]) for leaf in self.leaves)
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-sum(tree.apply(x) for tree in self.trees)))
 
-def _leaves(node, weight: float, path: dict, root: float, out: list) -> None:
-    """Leaves of a tree, each with the interval of every feature on its path and the share of rows that a split would let through."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        names = sorted(path)
-        out.append({"value": 2.0 * weight * node.prediction(), "feature": names, "low": [path[f][0] for f in names], "high": [path[f][1] for f in names], "zero": [path[f][2] for f in names]})
-        return
-    split = node.split()
-    f, cut, n = split.featureIndex(), split.threshold(), node.impurityStats().count()
-    for child, low, high in ((node.leftChild(), -np.inf, cut), (node.rightChild(), cut, np.inf)):
-        a, b, z = path.get(f, (-np.inf, np.inf, 1.0))
-        _leaves(child, weight, path | {f: (max(a, low), min(b, high), z * child.impurityStats().count() / n)}, root, out)
 
+@dataclass(frozen=True)
+class Forest:
+    """The trees of a random forest with their features."""
+
+    trees: list[Tree]
+    features: list
 
-def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> Booster:
-    """Boosted trees on features without NULLs, positives weighted by the negatives per positive."""
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=True).fit(_weighted(train, features, label))
-    leaves: list = []
-    for tree, w in zip(model.trees, model.treeWeights):
-        root = tree._java_obj.rootNode()
-        _leaves(root, float(w), {}, root.impurityStats().count(), leaves)
-    return Booster(model, features, leaves)
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return sum(tree.apply(x) for tree in self.trees) / len(self.trees)
 
 
 @dataclass(frozen=True)
@@ -62,16 +60,28 @@ class Classifier:
     features: list
 
 
+def _sample(train: DataFrame, features: list[str], label: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most `rows` rows as features, label and weight; positives have the weight of all negatives per positive."""
+    own = train.select(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]).alias("_hash"), F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(features)])
+    found = own.orderBy("_hash", *own.columns[1:]).limit(rows).toPandas().to_numpy(float)
+    y = found[:, 1]
+    return np.ascontiguousarray(found[:, 2:]), y, np.where(y == 1, scale_pos_weight(train, label).first()[0], 1.0)
+
+
+def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, labelled: int = LABELLED) -> Booster:
+    """Boosted trees on features without NULLs, on at most `labelled` rows, positives weighted by the negatives per positive."""
+    return Booster(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate).fit(*_sample(train, features, label, labelled)), features)
+
+
 def _weighted(train: DataFrame, features: list[str], label: str) -> DataFrame:
     weight = scale_pos_weight(train, label).first()[0]
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", F.col(label).cast("double").alias("_y"))
     return rows.withColumn("_w", F.when(F.col("_y") == 1, weight).otherwise(1.0))
 
 
-def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42) -> Classifier:
-    """A random forest with sqrt(features) a split, positives weighted."""
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    return Classifier(forest.fit(_weighted(train, features, label)), features)
+def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42, labelled: int = LABELLED) -> Forest:
+    """A random forest with sqrt(features) a split, on at most `labelled` rows, positives weighted."""
+    return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(*_sample(train, features, label, labelled)), features)
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000) -> Classifier:
@@ -80,10 +90,19 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, iterations:
     return Classifier(model.fit(_weighted(train, features, label)), features)
 
 
-def predict(df: DataFrame, booster: Booster | Classifier, out: str = "fraud_probability") -> DataFrame:
-    rows = VectorAssembler(inputCols=booster.features, outputCol="_x").transform(df)
-    raw = booster.model.transform(rows).withColumn(out, vector_to_array("probability")[1])
-    return raw.drop("_x", "rawPrediction", "probability", "prediction")
+def predict(df: DataFrame, model: Booster | Forest | Classifier, out: str = "fraud_probability") -> DataFrame:
+    """df with the probability of a positive. Trees are flat arrays of bounded size that travel with the task."""
+    if isinstance(model, Classifier):
+        rows = VectorAssembler(inputCols=model.features, outputCol="_x").transform(df)
+        raw = model.model.transform(rows).withColumn(out, vector_to_array("probability")[1])
+        return raw.drop("_x", "rawPrediction", "probability", "prediction")
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.probability(np.column_stack([c.to_numpy(float) for c in batch])))
+
+    return df.withColumn(out, scored(*[F.col(f"`{c}`").cast("double") for c in model.features]))
 
 
 def _tables(leaves: list) -> list:
@@ -142,11 +161,20 @@ def global_top_features(df: DataFrame, features: list[str], n: int = 10, values:
     return each.select(names[F.col("i")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def supervised_detection(train: DataFrame, test: DataFrame, features: list[str], label: str = "analyst_confirmed_label", trees: int = 100, depth: int = 5, rate: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Scored test rows (fraud_probability, fraud_prediction_flag, top_shap_features) and one row of metrics. The threshold is the train's best."""
+def detection_report(train: DataFrame, test: DataFrame, features: list[str], label: str = "analyst_confirmed_label", trees: int = 100, depth: int = 5, rate: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train and test rows with fraud_probability and fraud_prediction_flag, the test rows with top_shap_features too, and one row of the test's metrics.
+
+    The threshold is the train's best.
+    """
     booster = fit_booster(train, features, label, trees, depth, rate)
-    threshold = best_threshold(predict(train, booster), label, "fraud_probability").first()
+    known = predict(train, booster)
+    threshold = best_threshold(known, label, "fraud_probability").first()
     cut = threshold.threshold if threshold else 0.5
-    scored = predict(test, booster).withColumn("fraud_prediction_flag", flag(F.col("fraud_probability") >= cut))
-    scored = top_features(shap_values(scored, booster), features)
-    return scored, classification_metrics(scored, label, "fraud_probability", cut)
+    flagged = lambda rows: rows.withColumn("fraud_prediction_flag", flag(F.col("fraud_probability") >= cut))
+    scored = flagged(predict(test, booster))
+    return flagged(known), top_features(shap_values(scored, booster), features), classification_metrics(scored, label, "fraud_probability", cut)
+
+
+def supervised_detection(train: DataFrame, test: DataFrame, features: list[str], label: str = "analyst_confirmed_label", trees: int = 100, depth: int = 5, rate: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The test rows and the metrics of detection_report()."""
+    return detection_report(train, test, features, label, trees, depth, rate)[1:]
