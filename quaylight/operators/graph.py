@@ -1,7 +1,7 @@
 """Transaction graph features: trailing distinct degrees, reciprocal edges, pass-through, attempt recall.
 
-A window (d - w, d] is read by exploding each distinct edge into the days it counts for, so all features are equi-joins
-and partial aggregations; there is no range join.
+A window (d - w, d] is read as changes at its borders with running sums, so all features are equi-joins, partial aggregations
+and ordered sums within a node or an edge; there is no range join, and nothing is exploded into days.
 """
 
 from __future__ import annotations
@@ -19,18 +19,32 @@ def transaction_features(edges: DataFrame, start: str = "2022-09-01") -> DataFra
     codes = edges.select("payment_format").where("payment_format is not null").distinct()
     table = codes.select("payment_format", F.expr("dense_rank() over (order by payment_format) - 1").alias("payment_format_code"))  # one row for each format
     bank = lambda c: F.split_part(F.col(c), F.lit("_"), F.lit(1))
-    out = edges.join(F.broadcast(table), "payment_format", "left")
+    out = edges.join(table, "payment_format", "left")  # a small table is broadcast by its size
     return out.withColumns({
         "day": F.datediff(F.to_date("timestamp"), F.lit(start).cast("date")), "hour": F.hour("timestamp"), "log_amount": F.log1p("amount_paid"),
         "payment_format_code": F.coalesce("payment_format_code", F.lit(-1)), "cross_bank": flag(bank("from_node") != bank("to_node")),
     })
 
 
-def _active(edges: DataFrame, days: int, last_day: int) -> DataFrame:
-    """(src, dst, day, n): for each day, edges of the window that ends with it and their transactions."""
-    once = edges.where("day >= 0").groupBy(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), "day").agg(F.count("*").alias("n"))
-    spread = once.select("src", "dst", F.explode(F.sequence("day", F.least(F.col("day") + days - 1, F.lit(last_day)))).alias("day"), "n")
-    return spread.groupBy("src", "dst", "day").agg(F.sum("n").alias("n"))
+def _node_days(edges: DataFrame, days: int) -> DataFrame:
+    """(node, day, out_degree, out_count, in_degree, in_count) of the last `days` days, for each day with an edge of the node.
+
+    An edge counts from its day on and no longer `days` days later, and of an edge's overlapping spans the inner borders
+    cancel. So each distinct edge and day gives two changes at most, however long the window is, and running sums over a
+    node's changes, added up by day before, are the features.
+    """
+    once = edges.where("day >= 0").groupBy(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("src", "dst").orderBy("day")
+    begins, ends = (F.coalesce(gap >= days, F.lit(True)).cast("long") for gap in (F.col("day") - F.lag("day").over(order), F.lead("day").over(order) - F.col("day")))
+    spans = once.select("src", "dst", "day", "n", begins.alias("begins"), ends.alias("ends"))
+    at = lambda node, day, out, back: f"struct({node} as node, {day} as day, {out[0]} as out_degree, {out[1]} as out_count, {back[0]} as in_degree, {back[1]} as in_count, day = {day} as asked)"
+    none, more, less = ("0L", "0L"), ("begins", "n"), ("-ends", "-n")
+    changes = [at("src", "day", more, none), at("dst", "day", none, more), at("src", f"day + {days}", less, none), at("dst", f"day + {days}", none, less)]
+    each = spans.select(F.inline(F.expr(f"array({', '.join(changes)})")))
+    names = ["out_degree", "out_count", "in_degree", "in_count"]
+    by_day = each.groupBy("node", "day").agg(*[F.sum(c).alias(c) for c in names], F.max("asked").alias("asked"))
+    running = Window.partitionBy("node").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return by_day.select("node", "day", "asked", *[F.sum(c).over(running).alias(c) for c in names]).where("asked").drop("asked")
 
 
 def reciprocal_edges(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
@@ -48,11 +62,7 @@ def reciprocal_edges(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
 
 def graph_features(edges: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """The edges (from_node, to_node, day, ...) with eight features of the last `days` days, the day itself included. Days before 0 get NULL."""
-    last = edges.agg(F.max("day")).first()[0]
-    pairs = _active(edges, days, 0 if last is None else last)
-    out_side = pairs.groupBy(F.col("src").alias("node"), "day").agg(F.count("*").alias("out_degree"), F.sum("n").alias("out_count"))
-    in_side = pairs.groupBy(F.col("dst").alias("node"), "day").agg(F.count("*").alias("in_degree"), F.sum("n").alias("in_count"))
-    node = out_side.join(in_side, ["node", "day"], "full").na.fill(0)
+    node = _node_days(edges, days)
     src = node.select(F.col("node").alias("from_node"), "day", F.col("out_degree").alias("src_out_degree"), F.col("out_count").alias("src_out_count"), F.col("in_degree").alias("src_in_degree"))
     dst = node.select(F.col("node").alias("to_node"), "day", F.col("in_degree").alias("dst_in_degree"), F.col("in_count").alias("dst_in_count"), F.col("out_degree").alias("dst_out_degree"))
     out = reciprocal_edges(edges.join(src, ["from_node", "day"], "left").join(dst, ["to_node", "day"], "left"), days)

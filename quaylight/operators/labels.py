@@ -28,6 +28,11 @@ def analyst_confirmation(df: DataFrame, settings: Thresholds = DEFAULTS, key: st
     return out.withColumn("analyst_confirmed_label", flag(drawn))
 
 
+def confirmation_rates(df: DataFrame) -> DataFrame:
+    """(rule, rate): the confirmed share of each rule's alerts; of rows without a rule, the share that is fraud all the same."""
+    return df.groupBy(F.coalesce("fraud_rule_name", F.lit("")).alias("rule")).agg(F.avg("analyst_confirmed_label").alias("rate"))
+
+
 def label_report(df: DataFrame) -> DataFrame:
     """(rule, alerts, confirmed): alert rows by rule (a missing rule is one), and missed frauds among the others."""
     return df.groupBy(F.coalesce("fraud_rule_name", F.lit("")).alias("rule")).agg(F.count_if(~F.col("fraud_rule_name").eqNullSafe(F.lit(NO_RULE))).alias("alerts"), F.sum("analyst_confirmed_label").cast("long").alias("confirmed"))

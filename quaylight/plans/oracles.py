@@ -63,6 +63,13 @@ outs as (select a.node, a.day, count(distinct b.to_node) degree, count(*) n from
 ins as (select a.node, a.day, count(distinct b.from_node) degree, count(*) n from nd a join e b on b.to_node = a.node and {near} group by 1, 2)"""
 
 
+def _spread(days: int) -> str:
+    """The same by one row for each day that a distinct edge counts for, so that the time grows with the rows."""
+    return f"""{EDGES}, once as (select from_node, to_node, day, count(*) n from e group by all), act as (select from_node, to_node, unnest(range(day, day + {days})) as day, n from once),
+pair as (select from_node, to_node, day, sum(n) n from act group by all),
+outs as (select from_node node, day, count(*) degree, sum(n) n from pair group by all), ins as (select to_node node, day, count(*) degree, sum(n) n from pair group by all)"""
+
+
 SCORED = f"{EDGES}, sc as (select is_laundering y, floor(amount_paid / 500) / 200 + is_laundering * 0.05::double score from e)"
 ORACLES = {
     "scan_limit": f"with {OR} select payment_id, customer_id, amount amount_usd_equivalent from p order by payment_id limit 100",
@@ -117,6 +124,10 @@ ORACLES = {
     "risk_multiplier": f"with {EV} select payment_id, {MULT}::double risk_multiplier from p join (select customer_id, avg(amount) mean from p group by 1) using (customer_id)",
     "analyst_labels": f"with {LABELLED} select payment_id, rule fraud_rule_name, label analyst_confirmed_label from labelled",
     "label_report": f"with {LABELLED} select rule, count(*) filter (rule <> 'no_rule_triggered') alerts, sum(label)::bigint confirmed from labelled group by 1",
+    "confirmation_rates": f"with {LABELLED} select rule, round(avg(label), 6) rate from labelled group by 1",
+    "model_properties": f"with {EV}, {SPLIT} select model, count(*) scored, 0::bigint wrong from s, (values ('boosted_trees'), ('random_forest'), ('logistic'), ('shap')) m(model) where split = 'test' group by 1",
+    "false_groups": "select min(c_custkey)::bigint component, count(*) + 1 size from customer where c_nationkey % 5 <> 0 group by c_nationkey having count(*) >= 2",
+    "transfer_file": f"with {EDGES} select strftime(ts, '%Y-%m-%d %H:%M') as \"at\", from_node, to_node, round(amount_paid, 2) amount_paid, payment_format, is_laundering from e",
     "scale_pos_weight": f"with {SCORED} select round(count(*) filter (y = 0) / count(*) filter (y = 1), 6) scale_pos_weight from sc",
     "best_f1_threshold": f"with {SCORED}, n as (select sum(y) n from sc), t as (select score, sum(count(*)) over (order by score desc) f, sum(sum(y)) over (order by score desc) tp from sc group by score) select round(score, 6) threshold, round(2 * tp / (f + n), 6) f1 from t, n order by 2 * tp / (f + n) desc, score limit 1",
     "classification_metrics": f"with {SCORED}, n as (select sum(y) pos, count(*) - sum(y) neg, sum(y) filter (score >= 0.5) tp, count(*) filter (score >= 0.5) f from sc), g as (select score, count(*) n, sum(y) y from sc group by 1), t as (select *, sum(n) over (order by score desc) cn, sum(y) over (order by score desc) cy, sum(n - y) over (order by score) - (n - y) less from g) select round(any_value(tp / f), 6) \"precision\", round(any_value(tp / pos), 6) recall, round(any_value(2 * tp / (f + pos)), 6) f1, round(sum(t.y * (less + (t.n - t.y) / 2)) / any_value(pos * neg), 6) roc_auc, round(sum(t.y / pos * cy / cn), 6) average_precision from t, n",
@@ -124,7 +135,7 @@ ORACLES = {
     "alert_severity": f"with {EV}, r as (select payment_id, round((0.3 * ip + 0.3 * amt + 0.2 * dev) / 0.8, 3) + 0.0001 r from p) select payment_id, case when r <= 0.3 then 'low' when r <= 0.6 then 'medium' when r <= 0.8 then 'high' when r <= 1 then 'critical' end alert_severity from r",
     "edge_features": f"with {EDGES} select {KEY}, day, round(ln(1 + amount_paid), 6) log_amount, list_position(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], payment_format) - 1 payment_format_code, 1 cross_bank from e",
     "trailing_degrees": f"with {_degrees(4)} select {KEY}, e.day, amount_paid, a.degree src_out_degree, a.n src_out_count, coalesce(b.degree, 0) src_in_degree, c.degree dst_in_degree, c.n dst_in_count, coalesce(d.degree, 0) dst_out_degree from e join outs a on a.node = from_node and a.day = e.day left join ins b on b.node = from_node and b.day = e.day join ins c on c.node = to_node and c.day = e.day left join outs d on d.node = to_node and d.day = e.day",
-    "passthrough": f"with {_degrees(30)} select {KEY}, e.day, amount_paid, least(a.degree, coalesce(b.degree, 0)) src_passthrough, least(c.degree, coalesce(d.degree, 0)) dst_passthrough from e join outs a on a.node = from_node and a.day = e.day left join ins b on b.node = from_node and b.day = e.day join ins c on c.node = to_node and c.day = e.day left join outs d on d.node = to_node and d.day = e.day",
+    "passthrough": f"with {_spread(30)} select {KEY}, e.day, amount_paid, least(a.degree, coalesce(b.degree, 0)) src_passthrough, least(c.degree, coalesce(d.degree, 0)) dst_passthrough from e join outs a on a.node = from_node and a.day = e.day left join ins b on b.node = from_node and b.day = e.day join ins c on c.node = to_node and c.day = e.day left join outs d on d.node = to_node and d.day = e.day",
     **{name: f"with {EDGES} select {KEY}, day, amount_paid, (exists (select 1 from e b where b.from_node = e.to_node and b.to_node = e.from_node and b.day between e.day - {n - 1} and e.day))::int reciprocal_edge from e" for name, n in (("reciprocal_edge", 90), ("reciprocal_edge_4d", 4))},
     "attempt_recall": f"with {EDGES}, t as (select * from e where day >= 2000), a as (select b.payment_format typology, b.l_orderkey % 97 attempt, max((f.l_orderkey % 7 = 0)::int) caught from t b join t f on b.ts = f.ts and b.from_node = f.from_node and b.to_node = f.to_node and b.amount_paid::decimal(18, 2) = f.amount_paid::decimal(18, 2) where b.is_laundering = 1 group by 1, 2) select typology, sum(caught)::bigint caught, count(*) total, round(avg(caught), 6) rate from a group by 1",
     "ring_edges": "select * from (values (1001::bigint, 9001::bigint, 1), (1002, 9001, 1), (1003, 9001, 1), (1004, 9001, 1), (2001, 2002, 2), (2002, 2003, 2), (2003, 2001, 2), (3001, 3002, 3), (3001, 3003, 3), (3002, 3004, 3), (3003, 3004, 3)) t(customer_id, counterparty_account_id, true_ring_id)",

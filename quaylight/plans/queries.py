@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,8 @@ def pattern_parse(spark, d):
     """A pattern file made from all transfers: one attempt for each format, in order."""
     e = edges(spark, d)
     w = "partition by payment_format order by timestamp, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, amount_paid"
-    rows = e.withColumn("n", F.expr(f"row_number() over ({w})")).withColumn("f", F.expr("dense_rank() over (order by payment_format)"))
+    formats = e.select("payment_format").distinct().withColumn("f", F.expr("dense_rank() over (order by payment_format)"))  # one row for each format
+    rows = e.withColumn("n", F.expr(f"row_number() over ({w})")).join(formats, "payment_format")
     said = F.concat_ws(",", F.date_format("timestamp", "yyyy/MM/dd HH:mm"), F.split_part("from_node", F.lit("_"), F.lit(1)), F.split_part("from_node", F.lit("_"), F.lit(2)), F.split_part("to_node", F.lit("_"), F.lit(1)), F.split_part("to_node", F.lit("_"), F.lit(2)), F.lit("0"), F.lit("US Dollar"), F.format_string("%.2f", "amount_paid"))
     line = rows.select((F.col("f") * 1_000_000_000_000 + F.col("n")).alias("line_no"), said.alias("value"))
     heads = rows.select("f", "payment_format").distinct()
@@ -329,6 +331,11 @@ def _scored(spark, d):
     return edges(spark, d).select(F.col("is_laundering").alias("y"), (F.floor(F.col("amount_paid") / 500) / 200 + F.col("is_laundering") * 0.05).alias("score"))
 
 
+@query
+def confirmation_rates(spark, d):
+    return labels.confirmation_rates(labels.analyst_confirmation(_ruled(spark, d), SETTINGS)).select("rule", *_r("rate"))
+
+
 @query
 def scale_pos_weight(spark, d):
     return metrics.scale_pos_weight(_scored(spark, d), "y").select(*_r("scale_pos_weight"))
@@ -412,6 +419,27 @@ def ring_benchmark(spark, d):
     return rings.ring_recovery(rings.benchmark_edges(spark))
 
 
+@query
+def false_groups(spark, d):
+    """Customers paying an account of their nation; every fifth nation is a ring."""
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    pays = customer.select(F.col("c_custkey").cast("long").alias("customer_id"), (F.col("c_nationkey") + 1_000_000).cast("long").alias("counterparty_account_id"), F.expr("if(c_nationkey % 5 = 0, c_nationkey, null)").alias("true_ring_id"))
+    return rings.false_groups(pays)
+
+
+@query
+def transfer_file(spark, d):
+    """All transfers written as a transfer file and read back."""
+    part = lambda c, i: F.split_part(F.col(c), F.lit("_"), F.lit(i))
+    e = edges(spark, d).select(
+        F.date_format("timestamp", "yyyy/MM/dd HH:mm").alias("Timestamp"), part("from_node", 1).alias("From Bank"), part("from_node", 2).alias("Account"), part("to_node", 1).alias("To Bank"), part("to_node", 2).alias("Account.1"),
+        F.col("amount_paid").alias("Amount Received"), F.lit("Euro").alias("Receiving Currency"), F.col("amount_paid").alias("Amount Paid"), F.lit("Euro").alias("Payment Currency"), F.col("payment_format").alias("Payment Format"), F.col("is_laundering").cast("int").alias("Is Laundering"),
+    )
+    path = f"{components.shared_folder(spark)}/quaylight-transfers-{uuid.uuid4().hex}"
+    e.write.option("header", True).csv(path)
+    return tables.read_transfers(spark, path).select(F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("at"), "from_node", "to_node", *_r("amount_paid", digits=2), "payment_format", "is_laundering")
+
+
 # Models: results of a fit, checked for rows only
 
 
@@ -462,6 +490,21 @@ def logistic_scores(spark, d):
     return supervised.predict(rows.where("split = 'test'"), supervised.fit_logistic(rows.where("split = 'train'"), features, "analyst_confirmed_label"), "logistic_probability").select(ID, "logistic_probability")
 
 
+@query
+def model_properties(spark, d):
+    """For each model its test rows, and how many of them lack a probability or have one out of 0..1; for the explanations those that don't add up to the margin."""
+    rows, features = _modelled(spark, d)
+    train, test, label = rows.where("split = 'train'"), rows.where("split = 'test'"), "analyst_confirmed_label"
+    booster = supervised.fit_booster(train, features, label)
+    models = {"boosted_trees": booster, "random_forest": supervised.fit_random_forest(train, features, label), "logistic": supervised.fit_logistic(train, features, label)}
+    wrong = "count_if(p is null or not p between 0 and 1)"
+    out = [supervised.predict(test, m, "p").agg(F.lit(name).alias("model"), F.count("*").alias("scored"), F.expr(wrong).alias("wrong")) for name, m in models.items()]
+    base = booster.margin_base()
+    off = F.abs(F.expr("aggregate(shap_values, 0D, (a, x) -> a + x)") + base - F.log(F.col("p") / (1 - F.col("p")))) > 1e-6
+    out.append(supervised.shap_values(supervised.predict(test, booster, "p"), booster).agg(F.lit("shap").alias("model"), F.count("*").alias("scored"), F.count_if(off).alias("wrong")))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
 @query
 def shap_top_features(spark, d):
     rows, features = _modelled(spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,22 +28,26 @@ def stateless_rules(payments: DataFrame, settings: Thresholds = DEFAULTS) -> Dat
 
 
 def _trailing(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each new payment with the sum and maximum of its customer's last 24 hours; the state holds one day of payments."""
+    """Each new payment with the sum and maximum of its customer's last 24 hours.
+
+    The state holds the payments from a day before the watermark on, in order: Spark drops rows older than the watermark,
+    so no row that comes can have a history that reaches further back.
+    """
     if state.hasTimedOut:
         state.remove()
         return
-    times, ids, amounts = map(list, state.get) if state.exists else ([], [], [])
+    old = pd.DataFrame(dict(zip(("time", "payment_id", "amount"), state.get if state.exists else ([], [], []))))
     new = pd.concat(batches).sort_values(["payment_timestamp", "payment_id"])
-    sums, tops = [], []
-    for t, i, amount in zip(new["payment_timestamp"].astype("datetime64[us]").astype("int64"), new["payment_id"], new["amount_usd_equivalent"]):
-        times, ids, amounts = [*times, int(t)], [*ids, int(i)], [*amounts, float(amount)]
-        last = [a for u, j, a in zip(times, ids, amounts) if t - DAY_US <= u and (u, j) <= (t, i)]
-        sums.append(sum(last))
-        tops.append(max(last))
-    latest = max(times)
-    kept = [x for x in zip(times, ids, amounts) if x[0] >= latest - DAY_US]
-    state.update(tuple(list(c) for c in zip(*kept)))
-    state.setTimeoutTimestamp(max(latest // 1000 + DAY_US // 1000, state.getCurrentWatermarkMs() + 1))
+    fresh = pd.DataFrame({"time": new["payment_timestamp"].astype("datetime64[us]").astype("int64").to_numpy(), "payment_id": new["payment_id"].to_numpy(), "amount": new["amount_usd_equivalent"].to_numpy(float), "place": range(len(new))})
+    known = pd.concat([old.astype({"time": "int64", "payment_id": "int64", "amount": float}).assign(place=-1), fresh]).sort_values(["time", "payment_id"], kind="stable")
+    times, amounts, place = known["time"].to_numpy(), known["amount"].to_numpy(), known["place"].to_numpy()
+    begin, ends = np.searchsorted(times, times - DAY_US), np.flatnonzero(place >= 0)
+    frames = [amounts[begin[k] : k + 1] for k in ends]
+    sums, tops = [float(x.sum()) for x in frames], [float(x.max()) for x in frames]
+    watermark = state.getCurrentWatermarkMs()
+    kept = known[times >= watermark * 1000 - DAY_US]
+    state.update(tuple(kept[c].tolist() for c in ("time", "payment_id", "amount")))
+    state.setTimeoutTimestamp(max(int(times[-1]) // 1000 + DAY_US // 1000 + 1, watermark + 1))
     yield new.assign(trailing_24h_amount_sum=sums, trailing_24h_amount_max=tops)[[c.split()[0] for c in _OUT.split(", ")]]
 
 

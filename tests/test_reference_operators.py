@@ -310,3 +310,35 @@ def test_model_queries_fit_the_surveyed_size(spark, monkeypatch, name, model, si
     with pytest.raises(Asked) as got:
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.value.args == size
+
+
+class Held:
+    """A customer's state between two batches of a stream."""
+
+    def __init__(self, watermark=0):
+        self.value, self.exists, self.hasTimedOut, self.watermark = None, False, False, watermark
+
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+
+
+def test_late_payments_within_the_watermark_keep_their_history():
+    """Jan 1 00:10, Jan 2 00:30, then late Jan 2 00:05, whose day holds the first payment."""
+    import pandas as pd
+
+    batch = lambda *given: pd.DataFrame([(i, 1, t, a, "X") for i, t, a in given], columns=["payment_id", "customer_id", "payment_timestamp", "amount_usd_equivalent", "counterparty_country"])
+    state, said = Held(), []
+    for rows_in, mark in ((batch((1, ts(1, 0, 10), 6000.0), (2, ts(1, 0, 10), 1.0)), 0), (batch((3, ts(2, 0, 30), 6000.0)), 0), (batch((4, ts(2, 0, 5), 6000.0)), ts(1, 23, 30)), (batch((5, ts(4), 1.0)), ts(3, 23))):
+        state.watermark = int(mark.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) if mark else 0
+        for out in streams._trailing((1,), iter([rows_in]), state):
+            said += list(out[["payment_id", "trailing_24h_amount_sum", "trailing_24h_amount_max"]].itertuples(index=False, name=None))
+    assert said == [(1, 6000.0, 6000.0), (2, 6001.0, 6000.0), (3, 6000.0, 6000.0), (4, 12001.0, 6000.0), (5, 1.0, 1.0)]
+    assert state.value[1] == [5]
