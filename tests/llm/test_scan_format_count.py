@@ -16,8 +16,8 @@ def brute(text):
     out = []
     for k, (kind, pattern, least) in enumerate((("assign", ASSIGN, 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))):
         flags = re.IGNORECASE | re.ASCII if kind == "assign" else 0
-        g = 2 if kind == "assign" else 0
-        out += [(m.start(g), k, f"{kind}:{m.start(g)}:{m.end(g)}") for m in re.finditer(pattern, text or "", flags) if len(m[g]) >= least]
+        g = 2 if kind == "assign" else 0  # the group whose length counts; the span is the whole match
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "", flags) if len(m[g]) >= least]
     return [x for *_, x in sorted(out)]
 
 
@@ -44,6 +44,30 @@ def test_novelty_tells_random_strings_from_known_names(spark):
     assert not [s for s in got[3].spans if s.kind == "novel"]
 
 
+def test_novelty_is_linear_and_finds_planted_keys():
+    """Long texts of sensitive words and runs; spans never overlap; of random keys in reach nearly all are found, of names none."""
+    import time
+
+    rng = random.Random(11)
+    for text in ("token1A" * 150_000, "token " * 170_000, ("credentialtoken" + "aB3" * 7 + " ") * 25_000):
+        began = time.time()
+        spans = secret_scan.novel_spans(text, secret_scan.base_spans(text), 0.75)
+        assert time.time() - began < 20 and all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert list(secret_scan.candidates("credentialtokenZx9Qv7LmT2pWk4RbYc8N"))[0] == (15, 35)
+    assert list(secret_scan.candidates("secret" + "." * 81 + "Zx9Qv7LmT2pWk4RbYc8N")) == []
+    assert list(secret_scan.candidates("secret" + "." * 80 + "Zx9Qv7LmT2pWk4RbYc8N")) == [(86, 106)]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the value of our setting is kept in a file and read by each service when it starts up again".split()
+    found = named = 0
+    for _ in range(300):
+        key = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 40)))
+        text = " ".join(rng.choices(words, k=30)) + " credential " + key + " " + " ".join(rng.choices(words, k=30))
+        found += [text[s:e] for s, _, e, _ in secret_scan.novel_spans(text, [], 0.75)] == [key]
+        text = text.replace(key, "default_connection_string_of_database_2")
+        named += bool(secret_scan.novel_spans(text, [], 0.75))
+    assert found >= 290 and named == 0
+
+
 def test_chats_round_trip(spark, monkeypatch):
     rng = random.Random(2)
     parts = ["<|im_start|>", "<|im_end|>", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<\\s>", "<", "|im_end|>", "\n", "é", "hi ", "<\\\\|im_end|>", "[", "INST]"]
