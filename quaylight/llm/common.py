@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,17 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quaylight.operators.components import shared_folder
+
 #: Rows of a table of a few numbers that may be broadcast.
 SMALL_ROWS = 500_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own one if it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quaylight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that driver and executors share."""
+    return shared_folder(spark)
 
 
 def at_end(spark: SparkSession, path: str) -> None:

@@ -17,6 +17,7 @@ once for each document row. Without labels, or with one grade only, nothing is l
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaylight.llm.common import materialize, release
+
 BITS, LABELLED, LEAST_DOCS = 24, 12_000, 4
 CACHE = 200_000
 _WORD = re.compile(r"\w+")
@@ -53,16 +56,10 @@ class ToxicFeatures:
         return list(chain.from_iterable(map(self.of_word, set(_WORD.findall(text.lower())))))
 
     @staticmethod
-    def starts(slots: list[np.ndarray], weights: dict[int, float]) -> frozenset[int]:
-        """The four-character slots of all words that have a slot with a weight."""
-        weighted = np.zeros(1 << BITS, bool)
-        weighted[list(weights)] = True
-        out: set[int] = set()
-        for s in slots:
-            triples = s.reshape(-1, 3)
-            hit = (weighted[triples] & (triples >= 0)).any(1)
-            out.update(triples[hit, 1].tolist())
-        return frozenset(out)
+    def starts(slots: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+        """The four-character slots of the words of a document that have a slot with a weight."""
+        triples = slots.reshape(-1, 3)
+        return triples[(np.isin(triples, weighted) & (triples >= 0)).any(1), 1]
 
     def scorer(self, model: Model):
         """The score is a sum over distinct words."""
@@ -114,8 +111,8 @@ class QualityFeatures:
         return sorted({slot(f"{s!r}@{(n // c).bit_length()}") for s, c in counts.items() if c} | {slot(f"size@{n.bit_length()}")})
 
     @staticmethod
-    def starts(slots: list[np.ndarray], weights: dict[int, float]) -> frozenset[int]:
-        return frozenset()
+    def starts(slots: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+        return slots[:0]
 
     def scorer(self, model: Model):
         return lambda text: sum(model.weights.get(s, 0.0) for s in self(text))
@@ -138,29 +135,12 @@ class Model:
         return self.grades[0] + tails @ np.diff(self.grades).astype(float)
 
 
-def fit(slots: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> Model:
-    """Maximum likelihood with a small ridge penalty, by Adam over the whole sample; deterministic."""
-    levels = np.unique(grades)
-    if levels.size < 2:
-        return Model({}, [], [int(levels[0]) if levels.size else 0])
-    y = np.searchsorted(levels, grades)
+def fit(found: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> Model:
+    """Maximum likelihood with a small ridge penalty, by Adam over the whole sample; deterministic. found: each document's chosen slots."""
+    levels, y = np.unique(grades, return_inverse=True)
     n, total = len(y), np.bincount(y, minlength=levels.size)
-    # Documents are gone through one by one: only the counts of all slots and the chosen features of all documents stay.
-    have = np.zeros((levels.size, 1 << BITS), np.uint16 if n < 1 << 16 else np.uint32)
-    for g, s in zip(y.tolist(), slots):
-        have[g, np.unique(s[s >= 0])] += 1
-    names = np.flatnonzero(have.sum(0, dtype=np.uint32) >= LEAST_DOCS)
-    own = have[:, names].T.astype(float)
-    del have
-    df = own.sum(1, keepdims=True)
-    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0)
-    g = 2 * (part(own, df * total / n) + part(total - own, (n - df) * total / n)).sum(1)
-    chosen = names[g >= 2 * np.log(max(2, names.size))]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(chosen.size)
-    found = [place[s[s >= 0]] for s in slots]
-    found = [f[f >= 0] for f in found]
-    cells, value = np.unique(np.repeat(np.arange(n) << BITS, [f.size for f in found]) | np.concatenate(found), return_counts=True)
+    place = np.searchsorted(chosen, np.concatenate(found)) if found else np.zeros(0, int)
+    cells, value = np.unique(np.repeat(np.arange(n) << BITS, [f.size for f in found]) | place, return_counts=True)
     row, col, value = cells >> BITS, cells & ((1 << BITS) - 1), value.astype(float)
     w, k = np.zeros(chosen.size), levels.size - 1
     share = np.clip(np.cumsum(total)[:-1] / n, 1e-6, 1 - 1e-6)
@@ -193,16 +173,56 @@ def _extract(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(out, pa.binary())], ["doc_id", "grade", "slots"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, grade, n): the documents of a batch that have a slot, by grade."""
+    for batch in batches:
+        own = [np.unique(np.frombuffer(s.as_py(), np.int32)) for s in batch.column("slots")]
+        grades = np.repeat(batch.column("grade").to_numpy(zero_copy_only=False).astype(np.int64), [s.size for s in own])
+        keys, n = np.unique(grades << 32 | np.concatenate([s.astype(np.int64) & 0xFFFFFFFF for s in own]) if own else np.zeros(0, np.int64), return_counts=True)
+        slots = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        there = slots >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(slots[there]), pa.array((keys >> 32).astype(np.int32)[there]), pa.array(n[there].astype(np.int64))], ["slot", "grade", "n"])
+
+
+def _choose(batches: Iterator[pa.RecordBatch], kind: str, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The chosen slots of each document, and the starts of the words that have one."""
+    for batch in batches:
+        slots = [np.frombuffer(s.as_py(), np.int32) for s in batch.column("slots")]
+        own = [s[np.isin(s, chosen)].tobytes() for s in slots]
+        starts = [np.unique(EXTRACTORS[kind].starts(s, chosen)).tobytes() for s in slots]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(own, pa.binary()), pa.array(starts, pa.binary())], ["doc_id", "grade", "slots", "starts"])
+
+
+def _ratio(levels: list[int], total: dict[int, int]) -> str:
+    """The log-likelihood ratio of a slot, that o0, o1, ... documents of each grade have, of all `of`, against the grades."""
+    n = sum(total.values())
+    part = lambda o, e: f"if({o} > 0, {o} * ln({o} / ({e})), 0D)"
+    return "2 * (" + " + ".join(f"{part(f'o{i}', f'of * {total[g]}D / {n}')} + {part(f'({total[g]} - o{i})', f'({n} - of) * {total[g]}D / {n}')}" for i, g in enumerate(levels)) + ")"
+
+
 def train(docs: DataFrame, labels: DataFrame, grade: str, kind: str, labelled: int = LABELLED) -> Model:
-    """Fit on the labelled documents (labels: doc_id and the column `grade`), at most `labelled` labels."""
+    """Fit on the labelled documents (labels: doc_id and the column `grade`), at most `labelled` labels.
+
+    Slots are counted and chosen on the executors; the driver gets the chosen ones only.
+    """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     sample = rated.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(lambda it: _extract(it, kind), "doc_id long, grade int, slots binary")
-    rows = sorted(map(tuple, found.collect()))
-    slots = [np.frombuffer(s, np.int32) for *_, s in rows]
-    model = fit(slots, np.array([g for _, g, _ in rows], np.int64))
-    model.starts = EXTRACTORS[kind].starts(slots, model.weights)
+    found = materialize(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(lambda it: _extract(it, kind), "doc_id long, grade int, slots binary"), "labelled")
+    total = {r.grade: r["count"] for r in found.groupBy("grade").count().collect()}
+    levels = sorted(total)
+    if len(levels) < 2:
+        return Model({}, [], [levels[0] if levels else 0])
+    counted = found.mapInArrow(_count, "slot int, grade int, n long").groupBy("slot").agg(*[F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"o{i}") for i, g in enumerate(levels)])
+    counted = counted.withColumn("of", sum((F.col(f"o{i}") for i in range(1, len(levels))), F.col("o0"))).where(F.col("of") >= LEAST_DOCS)
+    judged = materialize(counted.select("slot", F.expr(_ratio(levels, total)).alias("ratio")), "judged")
+    least = 2 * math.log(max(2, judged.count()))
+    chosen = np.array(sorted(r.slot for r in judged.where(F.col("ratio") >= least).select("slot").collect()), np.int32)
+    rows = sorted(map(tuple, found.mapInArrow(lambda it: _choose(it, kind, chosen), "doc_id long, grade int, slots binary, starts binary").collect()))
+    model = fit([np.frombuffer(s, np.int32) for _, _, s, _ in rows], np.array([g for _, g, *_ in rows], np.int64), chosen)
+    model.starts = frozenset(x for *_, s in rows for x in np.frombuffer(s, np.int32).tolist())
+    release(found)
+    release(judged)
     return model
 
 
