@@ -18,7 +18,9 @@ from quaylight.llm.queries import tokenizer_path
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted model doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cumulative_link.toxicity(docs, labels).where("not toxic").select(docs.columns)
+    own = {c: f"_own{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # so that no name clashes with the scores
+    kept = cumulative_link.toxicity(docs.withColumnsRenamed(own), labels).where("not toxic")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
