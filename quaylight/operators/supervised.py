@@ -9,9 +9,6 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +50,16 @@ class Forest:
 
 
 @dataclass(frozen=True)
-class Classifier:
-    """Another fitted model with its features."""
+class Logistic:
+    """A logistic regression: a weight for each feature, and the margin of zeros."""
 
-    model: object
+    weights: np.ndarray
+    base: float
     features: list
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.base, -500, 500)))
+
 
 def _sample(train: DataFrame, features: list[str], label: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most `rows` rows as features, label and weight; positives have the weight of all negatives per positive."""
@@ -73,29 +74,30 @@ def fit_booster(train: DataFrame, features: list[str], label: str, trees: int =
     return Booster(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate).fit(*_sample(train, features, label, labelled)), features)
 
 
-def _weighted(train: DataFrame, features: list[str], label: str) -> DataFrame:
-    weight = scale_pos_weight(train, label).first()[0]
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", F.col(label).cast("double").alias("_y"))
-    return rows.withColumn("_w", F.when(F.col("_y") == 1, weight).otherwise(1.0))
-
-
 def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42, labelled: int = LABELLED) -> Forest:
     """A random forest with sqrt(features) a split, on at most `labelled` rows, positives weighted."""
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(*_sample(train, features, label, labelled)), features)
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000) -> Classifier:
-    """Logistic regression on standardised features, positives weighted."""
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations)
-    return Classifier(model.fit(_weighted(train, features, label)), features)
-
-
-def predict(df: DataFrame, model: Booster | Forest | Classifier, out: str = "fraud_probability") -> DataFrame:
-    """df with the probability of a positive. Trees are flat arrays of bounded size that travel with the task."""
-    if isinstance(model, Classifier):
-        rows = VectorAssembler(inputCols=model.features, outputCol="_x").transform(df)
-        raw = model.model.transform(rows).withColumn(out, vector_to_array("probability")[1])
-        return raw.drop("_x", "rawPrediction", "probability", "prediction")
+def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000, labelled: int = LABELLED) -> Logistic:
+    """Logistic regression on standardised features by Newton steps, on at most `labelled` rows, positives weighted."""
+    x, y, weight = _sample(train, features, label, labelled)
+    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(len(features)), np.ones(len(features)))
+    scale = np.where(scale > 0, scale, 1.0)
+    z, beta = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(len(features) + 1)
+    ridge = 1e-6 * max(1.0, weight.sum()) * np.eye(len(beta))
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ beta)
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Logistic(beta[:-1] / scale, float(beta[-1] - (beta[:-1] * mean / scale).sum()), features)
+
+
+def predict(df: DataFrame, model: Booster | Forest | Logistic, out: str = "fraud_probability") -> DataFrame:
+    """df with the probability of a positive. A model is arrays of bounded size that travel with the task."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
