@@ -36,6 +36,27 @@ BLOCK_CELLS, CACHE_WORDS, CHUNK_CHARS = 1 << 19, 250_000, 1 << 21
 #: The pre-tokenizer's pattern, a fixed value; its form for ASCII texts in lower case.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: Letters and numbers that are newer than the pre-tokenizer's tables, which take them for other signs: fixed values.
+NEWER = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6
+1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479
+"""
+#: Capitals that the normaliser knows and str.lower doesn't: fixed values, first, last and the lower case of the first.
+CAPITALS = "1C89-1C89:1C8A A7CB-A7CB:0264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _class_of(ranges: str) -> str:
+    """Ranges of code points as the inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges.split())
+
+
+_CAPITAL_RANGES = re.findall(r"(\w+)-(\w+):(\w+)", CAPITALS)
+_LOWER = {c: int(to, 16) + c - int(a, 16) for a, b, to in _CAPITAL_RANGES for c in range(int(a, 16), int(b, 16) + 1)}
+RARE = re.compile(f"[{_class_of(NEWER)}{_class_of(' '.join(f'{a}-{b}' for a, b, _ in _CAPITAL_RANGES))}]")
+RARE_WORDS = regex.compile(r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[%s]]+|[\p{N}--[%s]]|[[^\s\p{L}\p{N}]||[%s]]+" % ((_class_of(NEWER),) * 3))
 _codecs: dict[str, Codec] = {}
 
 
@@ -149,7 +170,8 @@ class Codec:
             elif part.isascii():
                 out += ASCII_WORDS.findall(part.lower())
             else:
-                out += WORDS.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out += RARE_WORDS.findall(part.translate(_LOWER)) if RARE.search(part) else WORDS.findall(part)
         return out
 
     def lookup(self, texts: list[str], as_text: bool) -> list[tuple]:

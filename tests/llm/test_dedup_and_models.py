@@ -270,6 +270,19 @@ def test_bpe_equals_the_library(spark):
     assert bpe.round_trip_digests(frame(spark, []), path).count() == 0
 
 
+def test_bpe_splits_every_code_point_as_the_library_does():
+    """All code points among letters, signs and numbers, newer ones than our Unicode tables included."""
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    library, codec = tokenizers.Tokenizer.from_file(path), bpe.Codec(open(path, encoding="utf-8").read())
+    stand = bpe.byte_characters()
+    for a in [*range(0, 0xD800, 64), *range(0xE000, 0x34000, 64), *range(0xE0000, 0xE0200, 64)]:
+        text = "\n".join(f"a{chr(c)}!{chr(c)}1" for c in range(a, a + 64))
+        normal = library.normalizer.normalize_str(text)
+        want = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
+        assert ["".join(stand[b] for b in w.encode()) for w in codec.split(text)] == want, hex(a)
+
+
 def test_cumulative_link_orders_grades(spark):
     rng = random.Random(8)
     rows, labels = [], []
