@@ -4,12 +4,13 @@ A turn becomes <|im_start|>role, a line end, its text, <|im_end|> and a line end
 get a backslash after their first character, and one more if they have some there already, which undoes itself exactly.
 
 For a batch of turns the lengths of headers, texts and footers, their cumulative offsets and the scatter indices are
-computed in numpy; all bytes then move by one gather into one preallocated Arrow buffer. A conversation comes out in
+computed in numpy; headers, footers and texts are then scattered into one preallocated Arrow buffer. A conversation comes out in
 parts of about PART_BYTES, whole turns each, so that one of any length passes through a task in bounded memory; in order
 they are its formatted text. loss_start and loss_len give the assistant texts of a part in code points.
 
 Defined results: turns are ordered by turn, nulls first, then role and text. A null text or role is empty. Rows with a
 null conv_id are one conversation. Repeated rows are turns of their own. Other columns are ignored. No rows give none.
+A conversation's digests are a running hash, so its parts pass through one task in order, one part in memory at a time.
 """
 
 from __future__ import annotations
@@ -53,27 +54,26 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8), at
 
 
-def _assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of the formatted turns, each turn's bytes, and the code points of each turn's header."""
+def _assemble(roles: list[str], texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
+    """The bytes of the formatted turns in one Arrow buffer, each turn's bytes, and the code points of each turn's header."""
     names = {r: f"{OPEN}{role_line(r)}\n" for r in set(roles)}
-    heads = [h.encode() for h in names.values()]
-    foot = f"{CLOSE}\n".encode()
+    heads = [np.frombuffer(h.encode(), np.uint8) for h in names.values()]
+    foot = np.frombuffer(f"{CLOSE}\n".encode(), np.uint8)
     code = {r: i for i, r in enumerate(names)}
     which = np.array([code[r] for r in roles])
-    table = np.frombuffer(b"".join([*heads, foot]), np.uint8)
-    length = np.array([len(h) for h in heads])
-    place = np.cumsum(length) - length
     data, at = _bytes(texts)
-    source = np.concatenate([table, data[at[0] : at[-1]]])
-    n = len(roles)
-    seg_len, seg_from = np.empty((n, 3), np.int64), np.empty((n, 3), np.int64)
-    seg_len[:, 0], seg_from[:, 0] = length[which], place[which]
-    seg_len[:, 1], seg_from[:, 1] = np.diff(at), at[:-1] - at[0] + table.size
-    seg_len[:, 2], seg_from[:, 2] = len(foot), table.size - len(foot)
-    size, start = seg_len.ravel(), seg_from.ravel()
-    to = np.cumsum(size) - size
-    gather = np.arange(size.sum()) + np.repeat(start - to, size)
-    return source[gather], seg_len.sum(1), np.array([len(h) for h in names.values()])[which]
+    size = np.stack([np.array([h.size for h in heads])[which], np.diff(at), np.full(len(roles), foot.size)], 1)
+    to = np.cumsum(size.ravel()).reshape(size.shape) - size
+    made = pa.allocate_buffer(int(size.sum()))
+    out = np.frombuffer(made, np.uint8)
+    for i, head in enumerate(heads):
+        out[to[which == i, 0][:, None] + np.arange(head.size)] = head
+    out[to[:, 2][:, None] + np.arange(foot.size)] = foot
+    said = data[at[0] : at[-1]]
+    index = np.arange(said.size, dtype=np.int32 if len(out) < 1 << 31 else np.int64)
+    index += np.repeat((to[:, 1] - (at[:-1] - at[0])).astype(index.dtype), size[:, 1])
+    out[index] = said
+    return made, size.sum(1), np.array([len(h) for h in names.values()])[which]
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per_part = np.concatenate([[0], np.cumsum(np.bincount(part_of[loss], minlength=at.size))]).astype(np.int32)
             edges = np.append(end[at] - size[at], end[-1]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [conv.take(pa.array(at)), pa.array(number, pa.int64()), pa.Array.from_buffers(pa.string(), at.size, [None, pa.py_buffer(edges), pa.py_buffer(out)]),
+                [conv.take(pa.array(at)), pa.array(number, pa.int64()), pa.Array.from_buffers(pa.string(), at.size, [None, pa.py_buffer(edges), out]),
                  pa.ListArray.from_arrays(pa.array(per_part), pa.array((before + head - before[at][part_of])[loss])), pa.ListArray.from_arrays(pa.array(per_part), pa.array(points[loss]))],
                 ["conv_id", "part", "formatted", "loss_start", "loss_len"],
             )
@@ -142,7 +142,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            if row["part"] == 0:
+            if turns is None or row["part"] == 0 or row["conv_id"] != conv:
                 if turns is not None:
                     done.append((conv, n, turns.hexdigest(), lost, loss.hexdigest(), chars))
                 conv, turns, loss, n, lost, chars = row["conv_id"], hashlib.sha256(), hashlib.sha256(), 0, 0, 0
@@ -162,6 +162,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) parsed from format_chats()'s parts, streaming."""
+def read_back(parts: DataFrame, in_order: bool = False) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) parsed from format_chats()'s parts, streaming.
+
+    in_order: the parts come straight from format_chats(), so that each partition holds whole conversations in order.
+    Stored parts, which a reader may split anywhere, are brought together and sorted.
+    """
+    if not in_order:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return parts.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
