@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.operators.components import shared_folder
@@ -58,6 +58,15 @@ def unclash(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def rows_without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, whose keys aren't in `gone`; keys: its columns by the expression over docs. Null keys are equal."""
+    own = docs.select(F.struct("*").alias("row"), *[e.alias(f"key{i}") for i, e in enumerate(keys.values())])
+    other = gone.select(*[F.col(c).alias(f"gone{i}") for i, c in enumerate(keys)])
+    same = [F.col(f"key{i}").eqNullSafe(F.col(f"gone{i}")) for i in range(len(keys))]
+    kept = own.join(other, same, "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """df, a stored table of a few numbers a row, to be broadcast if it has at most `most` rows (some 30 MB); beyond that joins shuffle."""
     return F.broadcast(df) if df.count() <= most else df

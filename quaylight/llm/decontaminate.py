@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import materialize, unclash
+from quaylight.llm.common import materialize, rows_without, unclash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,5 +95,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, width, share).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    bad = contamination(docs, benchmark, width, share).where("contaminated").select("doc_id", "h").distinct()
+    return rows_without(docs, bad, {"doc_id": docs["doc_id"], "h": F.xxhash64(docs["text"])})

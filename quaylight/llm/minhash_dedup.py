@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import components, materialize, sorted_groups, spanning_edges, unclash
+from quaylight.llm.common import components, materialize, rows_without, sorted_groups, spanning_edges, unclash
 from quaylight.llm.textset import mix64, shingle_sets
 
 BASE, Q, RATE = 1.1, 254, 20.0
@@ -232,5 +232,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
 
 def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs with one document of each component, all columns."""
-    gone = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, percent, width).where("not kept").select("doc_id").distinct()
+    return rows_without(docs, gone, {"doc_id": docs["doc_id"]})
