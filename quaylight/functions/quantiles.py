@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL, BUCKETS = 5_000_000, 4096
+SMALL, BUCKETS = 200_000, 4096
 
 
 def kth(df: DataFrame, column: str, k: int, small: int = SMALL):

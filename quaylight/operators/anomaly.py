@@ -1,30 +1,43 @@
-"""Unsupervised detection: an isolation forest and a one-class model, fitted on bounded samples, scored in Arrow batches.
+"""Unsupervised detection: an isolation forest and a one-class model, scored in Arrow batches.
 
-Neither model is in Spark's library. Each needs few rows: the forest 256 for a tree, the one-class model FIT_ROWS. The
-samples are taken by the hash of all features, so they don't depend on partitions.
+Neither model is in Spark's library. A tree of the forest is grown from 256 rows, which is the method's own subsample, drawn
+from all training rows; trees share rows only if there are fewer than all of them ask for. The one-class model starts from
+the solution over a bounded sample (START_ROWS), and PASSES gradient steps over all training rows follow; its offset is the
+exact quantile of all their scores. Samples are taken by the hash of the whole row, so they don't depend on partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from quaylight.functions.columns import flag
 from quaylight.functions.quantiles import quantile
 from quaylight.operators.stats import Scaler, minmax_invert
 
-SUBSAMPLE, TREES, FIT_ROWS = 256, 100, 8192
+SUBSAMPLE, TREES, START_ROWS, PASSES = 256, 100, 8192, 10
 
 
 def sample(df: DataFrame, columns: list[str], rows: int, seed: int = 42) -> np.ndarray:
-    """At most `rows` rows as a matrix, the lowest hashes first."""
-    key = F.xxhash64(F.lit(seed), *columns)
-    return np.array([tuple(r) for r in df.select(*[F.col(c).cast("double") for c in columns]).orderBy(key, *columns).limit(rows).collect()], float).reshape(-1, len(columns))
+    """At most `rows` rows as a matrix, the lowest hashes of whole rows first.
+
+    Rows that can't be among them stay on the executors: only a share that holds twice as many as asked for is sorted.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    some = df.select(F.shiftrightunsigned(F.xxhash64(F.lit(seed), *plain), 1).alias("_place"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    n, share = some.count(), 2.0
+    while True:
+        near = some if share * rows >= n else some.where(F.col("_place") < int(share * rows / n * 2**63))
+        found = near.orderBy(*near.columns).limit(rows).drop("_place").collect()
+        if len(found) == min(n, rows):
+            return np.array([tuple(r) for r in found], float).reshape(-1, len(columns))
+        share *= 4
 
 
 def _average_path(n: float) -> float:
@@ -46,6 +59,7 @@ class IsolationForest:
 
     @staticmethod
     def fit(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 42) -> IsolationForest:
+        """rows: trees * subsample training rows, which the trees divide among themselves, or all if there are fewer, from which each tree draws."""
         rng = np.random.default_rng(seed)
         nodes: list[list] = []
         n = min(subsample, len(rows))
@@ -64,10 +78,18 @@ class IsolationForest:
                 nodes[me][3] = grow(x[~below], depth + 1)
             return me
 
-        roots = [grow(rows[rng.choice(len(rows), n, replace=False)] if n else rows, 0) for _ in range(trees)]
+        if len(rows) >= trees * n:
+            own = rng.permutation(len(rows))[: trees * n].reshape(trees, n)
+        else:
+            own = [rng.choice(len(rows), n, replace=False) for _ in range(trees)]
+        roots = [grow(rows[i], 0) for i in own]
         f, c, l, r, d = zip(*nodes)
         return IsolationForest(np.array(f), np.array(c), np.array(l), np.array(r), np.array(d), np.array(roots), n)
 
+    @staticmethod
+    def fit_table(train: DataFrame, columns: list[str], seed: int = 42) -> IsolationForest:
+        return IsolationForest.fit(sample(train, columns, TREES * SUBSAMPLE, seed), seed=seed)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean depth / expected depth): near 1 is anomalous."""
         total = np.zeros(len(x))
@@ -109,9 +131,49 @@ class OneClass:
         w = total / steps
         return OneClass(waves, phase, w, float(np.quantile(z @ w, nu)))
 
+    @staticmethod
+    def fit_table(train: DataFrame, columns: list[str], nu: float = 0.1, passes: int = PASSES, seed: int = 42) -> OneClass:
+        """fit() on a sample, then `passes` averaged subgradient steps whose sums are over all rows of train.
+
+        A step's border between rows inside and outside is that of the sample; the final offset is exact.
+        """
+        rows = sample(train, columns, START_ROWS, seed)
+        if not len(rows):
+            rows = np.zeros((1, len(columns)))
+        model = OneClass.fit(rows, nu, seed=seed)
+        w, mean = model.weights, np.zeros_like(model.weights)
+        for t in range(passes):
+            step = replace(model, weights=w, rho=0.0)
+            step = replace(step, rho=float(np.quantile(step.score(rows), nu)))
+            n, total = step.outside(train, columns)
+            w = w - (w - total / max(n, 1)) / (t + 2)
+            mean += w / passes
+        model = replace(model, weights=mean if passes else w, rho=0.0)
+        return replace(model, rho=quantile(score_with(train, model, columns, "_score"), "_score", nu) or 0.0)
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / self.waves.shape[1]) * np.cos(x @ self.waves + self.phase)
+
+    def outside(self, df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+        """How many rows of df score under 0, and the sum of their features; summed on the executors."""
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(self.weights.size + 1)
+            for batch in batches:
+                z = self.features(batch.to_numpy(float))
+                z = z[z @ self.weights < self.rho]
+                total += np.append(z.sum(0), len(z))
+            yield pd.DataFrame({"at": np.arange(total.size), "value": total})
+
+        rows = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]).mapInPandas(sums, "at long, value double")
+        total = np.zeros(self.weights.size + 1)
+        for at, value in rows.groupBy("at").agg(F.sum("value")).collect():
+            total[at] = value
+        return int(total[-1]), total[:-1]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Signed distance: under 0 is anomalous."""
-        return np.sqrt(2.0 / self.waves.shape[1]) * np.cos(x @ self.waves + self.phase) @ self.weights - self.rho
+        return self.features(x) @ self.weights - self.rho
 
 
 def score_with(df: DataFrame, model, columns: list[str], out: str) -> DataFrame:
@@ -131,8 +193,8 @@ def unsupervised_detection(train: DataFrame, df: DataFrame, columns: list[str],
     Features must not be NULL. Both scores are scaled by the train's range, 1 being the most anomalous.
     """
     scaler = Scaler.fit(train, columns)
-    forest = IsolationForest.fit(sample(train, columns, FIT_ROWS, seed), seed=seed)
-    machine = OneClass.fit(sample(scaler.apply(train), columns, FIT_ROWS, seed), nu=contamination, seed=seed)
+    forest = IsolationForest.fit_table(train, columns, seed=seed)
+    machine = OneClass.fit_table(scaler.apply(train), columns, nu=contamination, seed=seed)
 
     def scored(rows: DataFrame) -> DataFrame:
         raw = score_with(rows, forest, columns, "_forest").withColumn("_forest", -F.col("_forest"))

@@ -453,7 +453,7 @@ def _modelled(spark, d):
 @query
 def isolation_forest(spark, d):
     rows, features = _modelled(spark, d)
-    forest = anomaly.IsolationForest.fit(anomaly.sample(rows.where("split = 'train'"), features, anomaly.FIT_ROWS))
+    forest = anomaly.IsolationForest.fit_table(rows.where("split = 'train'"), features)
     return anomaly.score_with(rows, forest, features, "isolation_forest_score").select(ID, "isolation_forest_score")
 
 
@@ -461,7 +461,7 @@ def isolation_forest(spark, d):
 def one_class(spark, d):
     rows, features = _modelled(spark, d)
     scaled = stats.Scaler.fit(rows.where("split = 'train'"), features).apply(rows)
-    machine = anomaly.OneClass.fit(anomaly.sample(scaled.where("split = 'train'"), features, anomaly.FIT_ROWS))
+    machine = anomaly.OneClass.fit_table(scaled.where("split = 'train'"), features)
     return anomaly.score_with(scaled, machine, features, "ocsvm_score").select(ID, "ocsvm_score")
 
 

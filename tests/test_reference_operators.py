@@ -163,6 +163,25 @@ def test_shap_adds_up_and_models_rank(spark):
     assert {r.payment_id for r in top} == {300, 301} and all(0 <= r.unsupervised_anomaly_score <= 1 for r in top)
 
 
+def test_anomaly_models_cover_all_training_rows(spark):
+    """A group that a bounded sample by hash would see little of counts in the fit; trees draw from all rows."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(9000, 2)), rng.normal(6, 0.3, size=(3000, 2))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "payment_id long, a double, b double").repartition(3)
+    assert len(anomaly.sample(df, ["a", "b"], 500)) == 500 and len(anomaly.sample(df, ["a", "b"], 50_000)) == 12_000
+    assert (anomaly.sample(df, ["a", "b"], 500) == anomaly.sample(df.repartition(7), ["a", "b"], 500)).all()
+    machine = anomaly.OneClass.fit_table(df, ["a", "b"], nu=0.1)
+    scores = machine.score(x)
+    assert abs((scores < 0).mean() - 0.1) < 1e-3  # the offset is the exact quantile over all rows
+    assert machine.score(np.array([[30.0, -30.0]]))[0] < 0 < machine.score(np.array([[6.0, 6.0], [0.0, 0.0]])).min()
+    n, total = machine.outside(df, ["a", "b"])
+    assert abs(n - (scores < 0).sum()) <= 1 and np.allclose(total, machine.features(x)[scores < 0].sum(0), atol=0.2)
+    forest = anomaly.IsolationForest.fit_table(df, ["a", "b"])
+    assert forest.score(np.array([[30.0, -30.0]]))[0] > forest.score(x).mean() + 0.1
+    empty = df.where("payment_id < 0")
+    assert anomaly.OneClass.fit_table(empty, ["a", "b"]).rho == 0.0 and len(anomaly.IsolationForest.fit_table(empty, ["a", "b"]).roots) == anomaly.TREES
+
+
 def test_labels_and_fusion(spark):
     df = spark.createDataFrame([(i, 1, 100.0, "HIGH", 1, 1, "sanctions_country" if i % 2 else None) for i in range(2000)], "payment_id long, customer_id long, amount_usd_equivalent double, customer_risk_segment string, device_shared_flag int, repeated_beneficiary_flag int, fraud_rule_name string")
     out = labels.analyst_confirmation(df)
