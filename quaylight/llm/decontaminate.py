@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of an index that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Rows of 64 marks, by hash, that tell which words an index joined by a shuffle may hold: 2 MB at most, whatever its size.
+MARK_ROWS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -41,6 +43,13 @@ def windows(benchmark: DataFrame, width: int) -> DataFrame:
     return items.withColumn("i", start).select("item_id", F.slice("w", F.col("i"), width).alias("win")).distinct()
 
 
+def _marked(said: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows of said whose token may be one of `tokens`: all that are, and few others."""
+    place = lambda df: df.withColumns({"_row": F.expr(f"pmod(xxhash64(token), {MARK_ROWS})"), "_bit": F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token) div {MARK_ROWS}, 64) as int))")})
+    marks = place(tokens).groupBy("_row").agg(F.bit_or("_bit").alias("_bits"))
+    return place(said).join(F.broadcast(marks), "_row").where("_bits & _bit <> 0").drop("_row", "_bit", "_bits")
+
+
 def occurrences(docs: DataFrame, wins: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, h, start, len, win): every place where a window of wins (win array<string>) occurs in a document."""
     index = materialize(wins.select("win").distinct().withColumn("win_id", F.xxhash64("win")), "windows")
@@ -48,7 +57,9 @@ def occurrences(docs: DataFrame, wins: DataFrame, broadcast_windows: int = BROAD
     hint = F.broadcast if small else (lambda df: df)
     vocabulary = index.select(F.explode("win").alias("token")).distinct()
     said = _rows(docs).select(F.explode_outer("w").alias("token"))
-    counts = materialize(said.join(hint(vocabulary), "token").groupBy("token").count(), "counts")
+    # Beyond a broadcast, words are counted where they are read, so that only one row of each goes through a shuffle.
+    known = said.join(hint(vocabulary), "token").groupBy("token").count() if small else _marked(said, vocabulary).groupBy("token").count().join(vocabulary, "token")
+    counts = materialize(known, "counts")
     prefix = (
         index.select("win_id", "win", F.posexplode("win").alias("offset", "token")).join(hint(counts), "token")
         .groupBy("win_id", "win").agg(F.min(F.struct("count", "token", "offset")).alias("p"), F.count("*").alias("found"))
@@ -60,9 +71,11 @@ def occurrences(docs: DataFrame, wins: DataFrame, broadcast_windows: int = BROAD
         placed = _rows(docs).select("doc_id", "h", "w", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "token"))
         found = placed.join(hint(prefix), "token").where(fits).withColumn("start", F.col("pos") - F.col("offset"))
         return found.where(f"get(w, start) = win[0] and {same}").select("doc_id", "h", "start", "len", "win_id")
-    # The words stay behind: only keys and places meet the index, and only documents with candidates are read again.
+    # The words stay behind: only keys and places of words that the index may hold meet it, and only documents with
+    # candidates are read again.
+    prefix = materialize(prefix, "prefix")
     placed = _rows(docs).select("doc_id", "h", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "token"))
-    found = placed.join(prefix.drop("win"), "token").where(fits).select("doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"), "len", "win_id").distinct()
+    found = _marked(placed, prefix.select("token")).join(prefix.drop("win"), "token").where(fits).select("doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"), "len", "win_id").distinct()
     texts = _rows(docs).dropDuplicates(["doc_id", "h"]).withColumnRenamed("doc_id", "d").withColumnRenamed("h", "e")
     found = found.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e"))).join(prefix.select("win_id", "win"), "win_id")
     return found.where(same).select("doc_id", "h", "start", "len", "win_id")

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaylight.llm import bpe, common, cumulative_link, decontaminate, embedding_dedup, line_dedup, minhash_dedup
 
@@ -121,6 +122,9 @@ def test_decontamination(spark):
     for limit in (100_000, 1):  # both ways to join
         got = decontaminate.contamination(df, bench, broadcast_windows=limit).drop("h").collect()
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
+    clash = df.withColumns({c: F.lit(i) for i, c in enumerate(("_d", "_h", "key0", "row", "gone0"))})
+    gone = decontaminate.decontaminated(clash, bench)
+    assert gone.columns == clash.columns and sorted(str(r.doc_id) for r in gone.collect()) == sorted(w[0] for w in want if not w[-1])
     kept = decontaminate.decontaminated(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if not w[-1])
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
@@ -335,6 +339,41 @@ def test_components(spark):
     assert got == want
 
 
+def test_texts_beyond_a_megabyte(spark):
+    """Very long near copies are linked, and a passage at the end of a long text is found."""
+    rng = random.Random(12)
+    a = [f"w{rng.randrange(3000)}" for _ in range(180_000)]
+    texts = [" ".join(a), " ".join([*a[:90_000], "other", *a[90_001:]]), " ".join(a[::-1]), " ".join([*a[:170_000], *a[:20]])]
+    assert min(map(len, texts)) > 800_000
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(frame(spark, enumerate(texts)), 95).collect()}
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
+    bench = spark.createDataFrame([(1, " ".join(a[-13:]))], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contamination(frame(spark, enumerate(texts)), bench).collect()}
+    assert found == {0: (180_000, 13), 1: (180_000, 13), 2: (180_000, 0), 3: (170_020, 0)}
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns whose names clash with the stages' own; then an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [None, "", line(40), line(50)]
+    names = ["toxic", "expected_severity", "_gone", "_d", "_h", "row", "component_id", "token_ids"]
+    rows = [(i, t, *range(len(names))) for i, t in [*enumerate(texts), (2, texts[2]), (None, line(30)), (None, None), (5, line(30))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    spark.createDataFrame([(2, 0, 1), (3, 0, 1), (None, None, None)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[3]), (2, None), (None, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, want in ((docs, {0, 1, 2, 5, None}), (docs.where("doc_id < 0"), set())):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = common.materialize(stage(spark, kept, str(tmp_path)), "odd")
+            if name != "bpe":
+                assert kept.columns == docs.columns
+                assert all(tuple(r)[2:] == tuple(range(len(names))) for r in kept.collect())
+        assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
