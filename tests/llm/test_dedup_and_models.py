@@ -253,6 +253,26 @@ def test_line_dedup_splits_words_at_any_white_space(spark):
     assert got == {1, 2}
 
 
+def test_copies_sent_more_than_once_dont_overflow_fingerprints(spark, monkeypatch):
+    """Beyond what is broadcast, a line's copies all come to its class; sums over them overflowed from some 3,000 copies on."""
+    monkeypatch.setattr(line_dedup, "SMALL_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1.0)
+    line = " ".join(f"word{i}" for i in range(25))
+    df = spark.createDataFrame([(1, "\n".join([line] * 6000)), (2, line.replace("word7", "other"))], "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(df).collect()}
+    assert got == {1: list(range(1, 6000)), 2: [0]}
+
+
+def test_runs_are_sent_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    each = common.materialize(line_dedup.signatures(docs), "lines")
+    classes = common.materialize(each.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("times"), F.min("low").alias("low"), F.min("high").alias("high")), "classes")
+    runs = line_dedup.shared_runs(each, classes)
+    runs.collect()
+    ran = runs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("posexplode(runs") == 1 and "ReusedExchange" in ran
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
