@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylight.functions.columns import flag
+from quaylight.functions.samples import lowest
 from quaylight.operators.metrics import best_threshold, classification_metrics, scale_pos_weight
 from quaylight.operators.trees import GBTClassifier, RandomForestClassifier, Tree
 
@@ -62,11 +63,11 @@ class Logistic:
 
 
 def _sample(train: DataFrame, features: list[str], label: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most `rows` rows as features, label and weight; positives have the weight of all negatives per positive."""
+    """At most `rows` rows as features, label and weight, those of lowest hash; positives have the weight of all negatives per positive."""
     own = train.select(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]).alias("_hash"), F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(features)])
-    found = own.orderBy("_hash", *own.columns[1:]).limit(rows).toPandas().to_numpy(float)
-    y = found[:, 1]
-    return np.ascontiguousarray(found[:, 2:]), y, np.where(y == 1, scale_pos_weight(train, label).first()[0], 1.0)
+    found = lowest(own, "_hash", rows)
+    y, x = found[:, 0], np.ascontiguousarray(found[:, 1:])
+    return x, y, np.where(y == 1, scale_pos_weight(train, label).first()[0], 1.0)
 
 
 def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, labelled: int = LABELLED) -> Booster:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaylight.operators.components import stored
 from quaylight.operators.encode import Imputer, OneHot, frequency_encode, log_transform, ordinal_encode, timestamp_features
 from quaylight.operators.history import feature_engineering
 from quaylight.operators.split import drop_missing_timestamps, time_based_split
@@ -17,7 +18,8 @@ def preprocess(df: DataFrame, test_size: float = 0.2, legacy_drop_engineered: bo
     switches drop the engineered features again and take the logarithm twice.
     """
     cleaned = drop_missing_timestamps(df)
-    rows = time_based_split(cleaned if legacy_drop_engineered else feature_engineering(cleaned), test_size=test_size)
+    # Medians, modes, categories and frequencies take dozens of passes; stored, the frames of history are computed once.
+    rows = stored(time_based_split(cleaned if legacy_drop_engineered else feature_engineering(cleaned), test_size=test_size), "features")
     train = rows.where("split = 'train'")
     filled = Imputer.fit(train).apply(rows)
     known = filled.where("split = 'train'")

@@ -15,7 +15,7 @@ from quaylight.operators import anomaly, components, encode, fusion, graph, hist
 from quaylight.plans import queries
 from quaylight.plans.preprocess import preprocess
 from quaylight.sources import tables
-from quaylight.sources.adapters import edges
+from quaylight.sources.adapters import edges, payments_events
 from quaylight.streaming import rules as streams
 
 
@@ -361,3 +361,20 @@ def test_late_payments_within_the_watermark_keep_their_history():
             said += list(out[["payment_id", "trailing_24h_amount_sum", "trailing_24h_amount_max"]].itertuples(index=False, name=None))
     assert said == [(1, 6000.0, 6000.0), (2, 6001.0, 6000.0), (3, 6000.0, 6000.0), (4, 12001.0, 6000.0), (5, 1.0, 1.0)]
     assert state.value[1] == [5]
+
+
+def test_labelled_rows_are_fetched_under_a_bound(spark, monkeypatch):
+    """Of a table of many partitions the driver gets little more rows than the sample has, and they are those of lowest hash."""
+    df = spark.range(20_000, numPartitions=8).selectExpr("id as payment_id", "cast(id % 37 as double) as a", "cast(id % 11 as double) as b", "cast(id % 5 = 0 as int) as y")
+    want = df.select(F.xxhash64(*df.columns).alias("h"), "y", "a", "b").orderBy("h").limit(1000).drop("h").collect()
+    fetched, whole = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: fetched.append(table := whole(self)) or table)
+    x, y, weight = supervised._sample(df, ["a", "b"], "y", 1000)
+    assert np.array_equal(np.column_stack([y, x]), np.array(want, float)) and set(weight) == {1.0, 4.0}
+    assert 1000 <= sum(t.num_rows for t in fetched) < 1300
+    assert len(supervised._sample(df, ["a", "b"], "y", 30_000)[0]) == 20_000 and supervised._sample(df.where("a < 0"), ["a", "b"], "y", 10)[0].shape == (0, 2)
+
+
+def test_preprocessing_computes_history_once(spark):
+    plan = preprocess(payments_events(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
