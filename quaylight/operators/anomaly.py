@@ -19,6 +19,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from quaylight.functions.columns import flag
 from quaylight.functions.quantiles import quantile
+from quaylight.operators.components import stored
 from quaylight.operators.stats import Scaler, minmax_invert
 
 SUBSAMPLE, TREES, START_ROWS, PASSES = 256, 100, 8192, 10
@@ -149,7 +150,8 @@ class OneClass:
             w = w - (w - total / max(n, 1)) / (t + 2)
             mean += w / passes
         model = replace(model, weights=mean if passes else w, rho=0.0)
-        return replace(model, rho=quantile(score_with(train, model, columns, "_score"), "_score", nu) or 0.0)
+        scores = stored(score_with(train, model, columns, "_score").select("_score"), "scores")  # a quantile takes many passes
+        return replace(model, rho=quantile(scores, "_score", nu) or 0.0)
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(2.0 / self.waves.shape[1]) * np.cos(x @ self.waves + self.phase)
@@ -201,7 +203,8 @@ def unsupervised_detection(train: DataFrame, df: DataFrame, columns: list[str],
         scaled = {f"_z_{c}": (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.stats.items()}
         return score_with(raw.withColumns(scaled), machine, list(scaled), "_machine").drop(*scaled)
 
-    fitted = scored(train)
+    # The ranges and the quantile take many passes; stored, each row of train is scored once for them.
+    fitted = stored(scored(train).select("_forest", "_machine"), "scores")
     lo_f, hi_f, lo_m, hi_m = fitted.agg(F.min("_forest"), F.max("_forest"), F.min("_machine"), F.max("_machine")).first()
 
     def combined(rows: DataFrame) -> DataFrame:

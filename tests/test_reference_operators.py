@@ -378,3 +378,14 @@ def test_labelled_rows_are_fetched_under_a_bound(spark, monkeypatch):
 def test_preprocessing_computes_history_once(spark):
     plan = preprocess(payments_events(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_anomaly_scores_are_computed_once_for_quantiles(spark, monkeypatch):
+    """Beyond what one aggregate does, a quantile narrows in many passes; those read scores that are stored."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(3000, 2)))], "payment_id long, a double, b double")
+    plans, whole = [], quantiles.quantile
+    monkeypatch.setattr(anomaly, "quantile", lambda rows, column, q: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or whole(rows, column, q, small=100))
+    got = anomaly.unsupervised_detection(df, df, ["a", "b"]).agg(F.count("*"), F.sum("unsupervised_anomaly_flag")).first()
+    assert got[0] == 3000 and 290 <= got[1] <= 310
+    assert len(plans) == 2 and not any("Python" in p for p in plans)
