@@ -3,9 +3,10 @@
 Unit vectors link if their cosine is t or more, that is, if their distance is at most eps = sqrt(2 - 2t). They are put
 into grid cells of that width on their leading principal dimensions and sorted by cell, in lexicographic order. The
 sequence is cut into intervals (blocks) of bounded size, and blocks carry the box of their vectors in the principal
-dimensions. Blocks meet in an equi-join on neighbouring cells, and pairs whose boxes are provably farther apart than eps
-are skipped. Each remaining pair of blocks is a task of its own: one matrix product in double precision, cut into halves
-recursively while the halves' boxes can still meet. A task emits the number of links of each vector and the edges of a
+dimensions. Blocks whose cells are neighbours meet, and pairs whose boxes are provably farther apart than eps
+are skipped. Tasks read the blocks where they are stored, so pairs take no disk, however many there are. A pair of
+blocks is one matrix product in double precision, cut into halves
+recursively while the halves' boxes can still meet. A pair emits the number of links of each vector and the edges of a
 spanning forest, never all pairs. Equal vectors are one class, so copies cost nothing more.
 
 The principal axes only order and prune, so they are fitted on a bounded sample (AXES_SAMPLE vectors, by hash); the
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.llm.common import components, materialize, spanning_edges, unclash
+from quaylight.llm.common import components, materialize, release, spanning_edges, sweep, unclash
 
 AXES_SAMPLE, AXES, CELL_AXES = 4096, 8, 3
 BLOCK_BYTES, LEAF = 1 << 20, 256
@@ -214,18 +215,20 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     size = f"greatest(1L, cast({BLOCK_BYTES} div (8 * dim) as long))"
     numbered = numbered.withColumn("block", F.expr(f"cast(dim as long) * {1 << 40} + place div {size}"))
     blocks = materialize(numbered.repartition("block").sortWithinPartitions("block", "place").mapInArrow(lambda it: _cut(it, axes), schema), "blocks")
-
-    boxes = blocks.select("block", "dim", "c0", "d0", "c1", "d1", "low", "high")
-    own = boxes.withColumn("x", F.explode(F.expr("sequence(c0, d0)"))).withColumn("y", F.explode(F.expr("sequence(c1, d1)"))).select("dim", "x", "y", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    about = boxes.withColumn("x", F.explode(F.expr("sequence(c0 - 1, d0 + 1)"))).withColumn("y", F.explode(F.expr("sequence(c1 - 1, d1 + 1)"))).select("dim", "x", "y", F.col("block").alias("a"), "low", "high")
-    gap = "aggregate(zip_with(zip_with(low, high_b, (p, q) -> p - q), zip_with(low_b, high, (p, q) -> p - q), (p, q) -> power(greatest(p, q, 0D), 2)), 0D, (s, v) -> s + v)"
-    pairs = about.join(own, ["dim", "x", "y"]).where("a <= b").where(f"{gap} <= {eps * eps!r}D").select("a", "b").distinct()
+    for table in (placed, ordered):
+        release(table)
+    sweep(embeddings.sparkSession)
 
     def side(k):
-        return blocks.select(F.col("block").alias(k), *([F.col("dim")] if k == "a" else []), *[F.col(c).alias(f"{c}_{k}") for c in ("reps", "counts", "vectors")])
+        return blocks.select(F.col("block").alias(k), *([F.col("dim")] if k == "a" else [F.col("dim").alias("dim_b")]), *[F.col(c).alias(f"{c}_{k}") for c in ("c0", "d0", "c1", "d1", "low", "high", "reps", "counts", "vectors")])
 
-    todo = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Each task reads its blocks from the stored table: a block that meets many others is never written for each of them.
+    near = "c0_a - 1 <= d0_b and c0_b <= d0_a + 1 and c1_a - 1 <= d1_b and c1_b <= d1_a + 1"
+    gap = "aggregate(zip_with(zip_with(low_a, high_b, (p, q) -> p - q), zip_with(low_b, high_a, (p, q) -> p - q), (p, q) -> power(greatest(p, q, 0D), 2)), 0D, (s, v) -> s + v)"
+    todo = side("a").join(side("b").hint("shuffle_replicate_nl"), F.expr(f"a <= b and dim <=> dim_b and {near} and {gap} <= {eps * eps!r}D"))
+    todo = todo.select("a", "b", "dim", *[f"{c}_{k}" for k in "ab" for c in ("reps", "counts", "vectors")])
     found = materialize(todo.mapInArrow(lambda it: _join(it, axes, cosine, eps), "src long, dst long, links long"), "found")
+    release(blocks)
     links = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
     grouped = components(found.where("dst is not null").select("src", "dst"), "near").withColumnRenamed("node", "rep")
     known = classes.select("digest", "rep", "n").join(links, "rep", "left").join(grouped, "rep", "left")

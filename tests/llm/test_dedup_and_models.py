@@ -97,6 +97,17 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_blocks_of_vectors_arent_written_for_each_pair(spark, monkeypatch):
+    """With many blocks that all meet, an exchange of pairs with their vectors grew with the square of the input."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 8 * 20)
+    plans, whole = {}, embedding_dedup.materialize
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, tag: plans.update({tag: df._jdf.queryExecution().sparkPlan().toString()}) or whole(df, tag))
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)))], "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_duplicates(df).where("n_links = 0 and kept").count() == 400
+    assert "CartesianProduct" in plans["found"] and "Exchange" not in plans["found"] and "HashJoin" not in plans["found"] and "SortMergeJoin" not in plans["found"]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     some = lambda n: [rng.choice(WORDS[:60]) for _ in range(n)]
