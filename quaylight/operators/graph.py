@@ -33,14 +33,16 @@ def _node_days(edges: DataFrame, days: int) -> DataFrame:
     cancel. So each distinct edge and day gives two changes at most, however long the window is, and running sums over a
     node's changes, added up by day before, are the features.
     """
-    once = edges.where("day >= 0").groupBy(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"))
+    # One exchange by edge and one by node serve both the sums by day and the frames.
+    known = edges.where("day >= 0").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), F.col("day").cast("long").alias("day")).repartition("src", "dst")
+    once = known.groupBy("src", "dst", "day").agg(F.count("*").alias("n"))
     order = Window.partitionBy("src", "dst").orderBy("day")
     begins, ends = (F.coalesce(gap >= days, F.lit(True)).cast("long") for gap in (F.col("day") - F.lag("day").over(order), F.lead("day").over(order) - F.col("day")))
     spans = once.select("src", "dst", "day", "n", begins.alias("begins"), ends.alias("ends"))
     at = lambda node, day, out, back: f"struct({node} as node, {day} as day, {out[0]} as out_degree, {out[1]} as out_count, {back[0]} as in_degree, {back[1]} as in_count, day = {day} as asked)"
     none, more, less = ("0L", "0L"), ("begins", "n"), ("-ends", "-n")
     changes = [at("src", "day", more, none), at("dst", "day", none, more), at("src", f"day + {days}", less, none), at("dst", f"day + {days}", none, less)]
-    each = spans.select(F.inline(F.expr(f"array({', '.join(changes)})")))
+    each = spans.select(F.inline(F.expr(f"array({', '.join(changes)})"))).repartition("node")
     names = ["out_degree", "out_count", "in_degree", "in_count"]
     by_day = each.groupBy("node", "day").agg(*[F.sum(c).alias(c) for c in names], F.max("asked").alias("asked"))
     running = Window.partitionBy("node").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)

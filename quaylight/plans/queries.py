@@ -517,12 +517,16 @@ def graph_ablation(spark, d):
     """(model, precision, recall, f1, roc_auc, average_precision) with and without graph features, tuned on validation days."""
     plain = ["log_amount", "payment_format_code", "cross_bank"]
     more = ["src_out_degree", "src_out_count", "src_in_degree", "dst_in_degree", "dst_in_count", "dst_out_degree", "src_passthrough", "dst_passthrough", "reciprocal_edge"]
-    rows = split.day_split(graph.graph_features(graph.transaction_features(edges(spark, d), start="1995-01-01")), "day", TRAIN_DAY, TEST_DAY).na.fill(0).cache()
+    # Only what the models read goes through the joins, with the keys, by which sampled rows are told apart; other columns would be sent with it.
+    slim = graph.transaction_features(edges(spark, d), start="1995-01-01").select("l_orderkey", "l_linenumber", "from_node", "to_node", "day", "is_laundering", *plain)
+    rows = split.day_split(graph.graph_features(slim), "day", TRAIN_DAY, TEST_DAY).drop("from_node", "to_node").na.fill(0)
+    rows = components.stored(rows, "transfers")
+    scored = lambda part, booster: components.stored(supervised.predict(rows.where(f"split = '{part}'"), booster).select("is_laundering", "fraud_probability"), "scores")  # noqa: E731  metrics take several passes
     out = None
     for name, features in (("transaction", plain), ("transaction_graph", plain + more)):
         booster = supervised.fit_booster(rows.where("split = 'train'"), features, "is_laundering", trees=300, depth=6)
-        tuned = metrics.best_threshold(supervised.predict(rows.where("split = 'validation'"), booster), "is_laundering", "fraud_probability").first()
-        found = metrics.classification_metrics(supervised.predict(rows.where("split = 'test'"), booster), "is_laundering", "fraud_probability", tuned.threshold if tuned else 0.5)
+        tuned = metrics.best_threshold(scored("validation", booster), "is_laundering", "fraud_probability").first()
+        found = metrics.classification_metrics(scored("test", booster), "is_laundering", "fraud_probability", tuned.threshold if tuned else 0.5)
         found = found.select(F.lit(name).alias("model"), "*")
         out = found if out is None else out.unionByName(found)
     return out

@@ -389,3 +389,21 @@ def test_anomaly_scores_are_computed_once_for_quantiles(spark, monkeypatch):
     got = anomaly.unsupervised_detection(df, df, ["a", "b"]).agg(F.count("*"), F.sum("unsupervised_anomaly_flag")).first()
     assert got[0] == 3000 and 290 <= got[1] <= 310
     assert len(plans) == 2 and not any("Python" in p for p in plans)
+
+
+def test_graph_ablation_stores_what_its_models_read(spark, monkeypatch):
+    """The joins carried all columns of a transfer, and each pass of the metrics scored all rows again."""
+    real, stored, read = supervised.fit_booster, {}, []
+    monkeypatch.setattr(supervised, "fit_booster", lambda train, features, label, **k: read.append((train.columns, train._jdf.queryExecution().optimizedPlan().toString())) or real(train, features, label, trees=2, depth=2))
+    whole = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, tag="components": stored.setdefault(tag, []).append(df.columns) or whole(df, tag))
+    got = queries.QUERIES["graph_ablation"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.model for r in got] == ["transaction", "transaction_graph"] and all(0 <= r.roc_auc <= 1 for r in got)
+    assert stored["scores"] == [["is_laundering", "fraud_probability"]] * 4
+    assert all(not {"from_node", "timestamp", "payment_format", "l_partkey"} & {*c} and "Join" not in plan and "InMemory" not in plan for c, plan in read)
+
+
+def test_trailing_degrees_take_two_exchanges(spark):
+    df = spark.createDataFrame([("a", "b", 0), ("b", "a", 3), ("a", "c", 4), ("a", "c", 4)], "from_node string, to_node string, day int")
+    node = graph._node_days(df, 4)
+    assert node.count() == 6 and node._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
