@@ -274,6 +274,25 @@ def test_copies_sent_more_than_once_dont_overflow_fingerprints(spark, monkeypatc
     assert got == {1: list(range(1, 6000)), 2: [0]}
 
 
+def test_different_lines_with_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """Lines that only 128 bits of parities let pass are told apart before they make rows, whose number grew with the square of the lines."""
+    rng = random.Random(11)
+    passage = [rng.choice(WORDS) for _ in range(60)]
+    lines = [[*(f"own{rng.randrange(10**9)}" for _ in range(26)), *passage] for _ in range(40)]
+    texts = [" ".join(x) for x in (*lines, edited(rng, lines[3], 17), edited(rng, lines[5], 10))]
+    rows, stored = {}, line_dedup.materialize
+
+    def counted(df, tag):
+        out = stored(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = {r.doc_id for r in line_dedup.decisions(frame(spark, enumerate(texts))).where("n_dropped > 0").collect()}
+    assert got == dropped_by_brute_force(texts) == {40, 41}
+    assert rows["remaining"] <= len(texts)
+
+
 def test_runs_are_sent_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     each = common.materialize(line_dedup.signatures(docs), "lines")
