@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 
@@ -303,6 +304,32 @@ def test_runs_are_sent_once(spark):
     assert ran.count("posexplode(runs") == 1 and "ReusedExchange" in ran
 
 
+def test_runs_are_sent_in_parts(spark, monkeypatch):
+    """All runs at once took more disk than three times the input; the parts give the same rows, and the runs of lines go before the shared ones are ranked."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(300)
+    tables, there, stored = [], {}, line_dedup.materialize
+
+    def seen(df, tag):
+        there[tag] = [pathlib.Path(x._scratch_path.removeprefix("file:")).exists() for t, x in tables if t == "lines"]
+        out = stored(df, tag)
+        if tag == "several":
+            all_of[len(all_of)] = out.collect()
+        if tag == "lines":
+            classes = out.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("times")).cache()
+            whole.extend(line_dedup.runs_of_several(line_dedup.sent_once(out, classes)).collect())
+        tables.append((tag, out))
+        return out
+
+    whole, all_of = [], {}
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    line_dedup.dropped_lines(docs).collect()
+    assert len(all_of) == line_dedup.PARTS > 1 and all(all_of.values())
+    assert sorted(r for part in all_of.values() for r in part) == sorted(whole)
+    keys = [{r.key for r in part} for part in all_of.values()]
+    assert sum(map(len, keys)) == len(set().union(*keys))
+    assert there["several"] == [True] and there["runs"] == [False]
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")
