@@ -294,6 +294,20 @@ def test_different_lines_with_a_common_passage_make_few_pairs(spark, monkeypatch
     assert rows["remaining"] <= len(texts)
 
 
+def test_a_common_passage_gives_a_pair_once(spark, monkeypatch):
+    """Not once for each of the passage's runs; the lines hold the same words, so that all pairs may be similar."""
+    rng = random.Random(12)
+    docs = frame(spark, enumerate(" ".join([*WORDS[100:114], *rng.sample(WORDS[:20], 20)]) for _ in range(10)))
+    each = common.materialize(line_dedup.signatures(docs), "lines")
+    classes = each.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("times"), F.min("low").alias("low"), F.min("high").alias("high"))
+    kept = common.materialize(line_dedup.shared_runs(each, classes), "runs")
+    early = kept.select("k", F.col("k").alias("component")).limit(0)
+    said = line_dedup.said_by(docs, classes, kept.select("k"))
+    monkeypatch.setattr(type(docs), "distinct", lambda self: self)
+    rows = [(r.a, r.b) for r in line_dedup.remaining(kept, early, said).collect()]
+    assert len(rows) == len(set(rows)) == 45
+
+
 def test_runs_are_sent_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     each = common.materialize(line_dedup.signatures(docs), "lines")
