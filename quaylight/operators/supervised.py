@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.columns import flag
 from quaylight.functions.samples import lowest
+from quaylight.operators.blocks import blocks, dropped, entries, matrix, quantile_cuts
 from quaylight.operators.metrics import best_threshold, classification_metrics, scale_pos_weight
-from quaylight.operators.trees import GBTClassifier, RandomForestClassifier, Tree
+from quaylight.operators.trees import GBTClassifier, RandomForestClassifier, Tree, bins_of, cuts_of
 
-#: Labelled rows that trees are fitted on at most: those of lowest hash over all columns. Weights are those of all rows.
+#: Values of features that the driver holds at most. Models are fitted on all rows; more of them stay on the executors.
+CELLS = 2**23
+#: Labelled rows that the logistic regression is fitted on at most: those of lowest hash over all columns. Weights are those of all rows.
 LABELLED = 100_000
 
 
@@ -63,21 +66,45 @@ class Logistic:
 
 
 def _sample(train: DataFrame, features: list[str], label: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most `rows` rows as features, label and weight, those of lowest hash; positives have the weight of all negatives per positive."""
+    """At most `rows` rows as features, label and weight, those of lowest hash; positives have the weight of all negatives per positive. Fits ask for all rows."""
     own = train.select(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]).alias("_hash"), F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(features)])
     found = lowest(own, "_hash", rows)
     y, x = found[:, 0], np.ascontiguousarray(found[:, 1:])
     return x, y, np.where(y == 1, scale_pos_weight(train, label).first()[0], 1.0)
 
 
-def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, labelled: int = LABELLED) -> Booster:
-    """Boosted trees on features without NULLs, on at most `labelled` rows, positives weighted by the negatives per positive."""
-    return Booster(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate).fit(*_sample(train, features, label, labelled)), features)
+def _columns(train: DataFrame, features: list[str], label: str) -> DataFrame:
+    return train.select(F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(features)])
 
 
-def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42, labelled: int = LABELLED) -> Forest:
-    """A random forest with sqrt(features) a split, on at most `labelled` rows, positives weighted."""
-    return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(*_sample(train, features, label, labelled)), features)
+def _fit_trees(model: GBTClassifier | RandomForestClassifier, train: DataFrame, features: list[str], label: str, cells: int) -> list[Tree]:
+    """The model's trees on all rows: on the driver if their values are few or, after equal rows are counted, their bins are at most `cells`."""
+    n, width = train.count(), len(features)
+    if n * width <= cells // 8:
+        x, y, weight = _sample(train, features, label, n)
+        cuts = [cuts_of(c) for c in x.T]
+        return model.fit(bins_of(x, cuts), cuts, y, weight)
+    own, positive = _columns(train, features, label), scale_pos_weight(train, label).first()[0]
+    cuts = quantile_cuts(own.drop("_y"), width)
+    different = entries(own, cuts)
+    n = different.count()
+    if n * width <= cells:
+        bins, y, times = matrix(different, width)
+        dropped(different)
+        return model.fit(bins, cuts, y, np.where(y == 1, positive, 1.0), times)
+    made = blocks(different, width, n)
+    dropped(different)
+    return model.fit_blocks(made, cuts, positive)
+
+
+def fit_booster(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, rate: float = 0.1, cells: int = CELLS) -> Booster:
+    """Boosted trees on features without NULLs, on all rows, positives weighted by the negatives per positive. Beyond `cells` values train is read in several passes."""
+    return Booster(_fit_trees(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate), train, features, label, cells), features)
+
+
+def fit_random_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42, cells: int = CELLS) -> Forest:
+    """A random forest with sqrt(features) a split, on all rows, positives weighted; passes as in fit_booster()."""
+    return Forest(_fit_trees(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), train, features, label, cells), features)
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000, labelled: int = LABELLED) -> Logistic:

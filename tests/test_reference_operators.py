@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quaylight import config, contract
 from quaylight.functions import quantiles, windows
-from quaylight.operators import anomaly, components, encode, fusion, graph, history, labels, metrics, rings, rules, split, stats, supervised, validate
+from quaylight.operators import anomaly, blocks, components, encode, fusion, graph, history, labels, metrics, rings, rules, split, stats, supervised, trees, validate
 from quaylight.plans import queries
 from quaylight.plans.preprocess import preprocess
 from quaylight.sources import tables
@@ -375,6 +375,68 @@ def test_labelled_rows_are_fetched_under_a_bound(spark, monkeypatch):
     assert len(supervised._sample(df, ["a", "b"], "y", 30_000)[0]) == 20_000 and supervised._sample(df.where("a < 0"), ["a", "b"], "y", 10)[0].shape == (0, 2)
 
 
+@pytest.fixture(scope="module")
+def odd_labels(spark):
+    """Few positives; features of few values, of a long tail, with many zeros, and far from zero; copies of rows."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 7, 6000), np.exp(rng.normal(0, 4, 6000)), rng.normal(size=6000) * (rng.random(6000) < 0.3), 1.7e9 + rng.integers(0, 900, 6000)]).astype(float)
+    y = (x[:, 0] + 2 * (x[:, 2] > 0.5) + rng.normal(size=6000) > 7).astype(int)
+    x, y = np.vstack([x, x[:500]]), np.append(y, y[:500])
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "payment_id long, a double, b double, c double, d double, y int")
+    return df.repartition(5).cache(), ["a", "b", "c", "d"], x, y
+
+
+def test_cuts_are_quantiles_of_all_rows(spark, odd_labels):
+    df, names, x, _ = odd_labels
+    for column, cuts in zip(x.T, blocks.quantile_cuts(df.select(*names), 4)):
+        if len(np.unique(column)) <= trees.BINS:
+            assert np.array_equal(cuts, trees.cuts_of(column))
+        else:
+            shares = np.bincount(np.searchsorted(cuts, column), minlength=len(cuts) + 1) / len(column)
+            single = np.array([np.sum(column == v) for v in cuts]) / len(column)
+            assert len(cuts) > 60 and (shares[:-1] <= 1 / trees.BINS + single + 3 / blocks.FINE).all()  # a bin ends with its cut's own rows
+
+
+def test_boosted_trees_are_fitted_on_all_rows(spark, odd_labels, monkeypatch):
+    """Beyond what the driver holds, rows stay on the executors, equal ones as one entry; the trees are those of one matrix of all rows."""
+    df, names, x, y = odd_labels
+    cuts = blocks.quantile_cuts(df.select(*names), 4)
+    weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    whole = trees.GBTClassifier(maxIter=5, maxDepth=4).fit(trees.bins_of(x, cuts), cuts, y.astype(float), weight)
+    monkeypatch.setattr(trees, "HELD", 2)
+    monkeypatch.setattr(supervised, "blocks", lambda table, width, n: blocks.blocks(table, width, n, size=700))
+    for rows_in, cells in ((df, 100), (df.repartition(2, "payment_id"), 100), (df, 25_500)):  # the last: fewer than all rows, not than different ones
+        got = supervised.fit_booster(rows_in, names, "y", trees=5, depth=4, cells=cells)
+        assert all(np.array_equal(getattr(a, part), getattr(b, part)) for a, b in zip(got.trees, whole) for part in ("feature", "cut", "left", "right", "value", "cover"))
+    assert whole[0].cover[0] == pytest.approx(weight.sum() / 4)
+
+
+def test_random_forest_is_fitted_on_all_rows(spark, odd_labels, monkeypatch):
+    """Each tree draws as many rows as there are; blocks on the executors rank as well as one matrix."""
+    df, names, x, y = odd_labels
+    monkeypatch.setattr(trees, "TOGETHER", 4)
+    monkeypatch.setattr(supervised, "blocks", lambda table, width, n: blocks.blocks(table, width, n, size=700))
+    one = (y == 0).sum() / (y == 1).sum()
+    found = [supervised.fit_random_forest(df, names, "y", trees=10, cells=cells) for cells in (100, 25_500, supervised.CELLS)]
+    for forest in found:
+        assert all(abs(t.cover[0] - 2 * (y == 0).sum()) < 6 * one * np.sqrt(y.sum()) for t in forest.trees) and len({float(t.cover[0]) for t in forest.trees}) > 5
+    far, near = (f.probability(x) for f in (found[0], found[2]))
+    assert np.corrcoef(far, near)[0, 1] > 0.95
+    again = supervised.fit_random_forest(df.repartition(2, "payment_id"), names, "y", trees=10, cells=100)
+    assert all(np.array_equal(a.value, b.value) for a, b in zip(found[0].trees, again.trees))
+
+
+def test_models_ask_for_every_labelled_row(spark, monkeypatch):
+    """Fits stopped at 100,000 rows of lowest hash."""
+    df = spark.range(130_000, numPartitions=4).selectExpr("id as payment_id", "cast(id % 37 as double) as a", "cast(id % 5 = 0 as int) as y")
+    seen = []
+    monkeypatch.setattr(trees.GBTClassifier, "fit", lambda self, bins, cuts, y, weight: seen.append(weight.sum()) or [])
+    monkeypatch.setattr(trees.RandomForestClassifier, "fit", lambda self, bins, cuts, y, weight: seen.append(weight.sum()) or [])
+    for fit in (supervised.fit_booster, supervised.fit_random_forest):
+        fit(df, ["a"], "y")
+    assert seen == [104_000 + 26_000 * 4.0] * 2
+
+
 def test_preprocessing_computes_history_once(spark):
     plan = preprocess(payments_events(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
