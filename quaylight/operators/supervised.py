@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.columns import flag
 from quaylight.functions.samples import lowest
-from quaylight.operators.blocks import blocks, dropped, entries, matrix, quantile_cuts
+from quaylight.operators.blocks import blocks, dropped, entries, matrix, quantile_cuts, summed
 from quaylight.operators.metrics import best_threshold, classification_metrics, scale_pos_weight
 from quaylight.operators.trees import GBTClassifier, RandomForestClassifier, Tree, bins_of, cuts_of
 
 #: Values of features that the driver holds at most. Models are fitted on all rows; more of them stay on the executors.
 CELLS = 2**23
-#: Labelled rows that the logistic regression is fitted on at most: those of lowest hash over all columns. Weights are those of all rows.
-LABELLED = 100_000
 
 
 @dataclass(frozen=True)
@@ -107,18 +105,42 @@ def fit_random_forest(train: DataFrame, features: list[str], label: str, trees:
     return Forest(_fit_trees(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), train, features, label, cells), features)
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000, labelled: int = LABELLED) -> Logistic:
-    """Logistic regression on standardised features by Newton steps, on at most `labelled` rows, positives weighted."""
-    x, y, weight = _sample(train, features, label, labelled)
-    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(len(features)), np.ones(len(features)))
+def _newton(p: np.ndarray, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient and second derivatives of a batch, one below the other."""
+    return np.vstack([z.T @ (weight * (y - p)), (z * (weight * p * (1 - p))[:, None]).T @ z])
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 1000, cells: int = CELLS) -> Logistic:
+    """Logistic regression on standardised features by Newton steps, on all rows, positives weighted. Beyond `cells` values each step is a pass over train."""
+    n, width = train.count(), len(features)
+    if local := n * width <= cells:
+        x, y, weight = _sample(train, features, label, n)
+        mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(width), np.ones(width))
+        whole = weight.sum()
+    else:
+        own, positive = _columns(train, features, label), scale_pos_weight(train, label).first()[0]
+        first = summed(own, lambda m: np.append((m[:, 1:]).sum(0), (m[:, 0] == 1).sum()), width + 1)
+        mean, whole = first[:-1] / n, n + (positive - 1) * first[-1]
+        scale = np.sqrt(summed(own, lambda m: ((m[:, 1:] - mean) ** 2).sum(0), width) / n)
     scale = np.where(scale > 0, scale, 1.0)
-    z, beta = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(len(features) + 1)
-    ridge = 1e-6 * max(1.0, weight.sum()) * np.eye(len(beta))
+    beta, ridge = np.zeros(width + 1), 1e-6 * max(1.0, whole) * np.eye(width + 1)
+    made = lambda x: np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    told = lambda z, beta: 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+    if local:
+        z = made(x)
     for _ in range(iterations):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ beta)
+        if local:
+            sums = _newton(told(z, beta), z, y, weight)
+        else:
+
+            def add(m: np.ndarray, beta=beta) -> np.ndarray:
+                z = made(m[:, 1:])
+                return _newton(told(z, beta), z, m[:, 0], np.where(m[:, 0] == 1, positive, 1.0)).ravel()
+
+            sums = summed(own, add, (width + 2) * (width + 1)).reshape(width + 2, width + 1)
+        step = np.linalg.solve(sums[1:] + ridge, sums[0] - ridge @ beta)
         step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-        beta += step
+        beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
     return Logistic(beta[:-1] / scale, float(beta[-1] - (beta[:-1] * mean / scale).sum()), features)

@@ -426,15 +426,22 @@ def test_random_forest_is_fitted_on_all_rows(spark, odd_labels, monkeypatch):
     assert all(np.array_equal(a.value, b.value) for a, b in zip(found[0].trees, again.trees))
 
 
+def test_logistic_regression_is_fitted_on_all_rows(spark, odd_labels):
+    df, names, x, _ = odd_labels
+    far, near = (supervised.fit_logistic(df, names, "y", cells=cells) for cells in (100, supervised.CELLS))
+    assert far.probability(x) == pytest.approx(near.probability(x), abs=1e-6)
+
+
 def test_models_ask_for_every_labelled_row(spark, monkeypatch):
     """Fits stopped at 100,000 rows of lowest hash."""
     df = spark.range(130_000, numPartitions=4).selectExpr("id as payment_id", "cast(id % 37 as double) as a", "cast(id % 5 = 0 as int) as y")
     seen = []
     monkeypatch.setattr(trees.GBTClassifier, "fit", lambda self, bins, cuts, y, weight: seen.append(weight.sum()) or [])
     monkeypatch.setattr(trees.RandomForestClassifier, "fit", lambda self, bins, cuts, y, weight: seen.append(weight.sum()) or [])
-    for fit in (supervised.fit_booster, supervised.fit_random_forest):
+    monkeypatch.setattr(supervised, "_newton", lambda p, z, y, weight: seen.append(weight.sum()) or np.vstack([np.zeros(2), np.eye(2)]))
+    for fit in (supervised.fit_booster, supervised.fit_random_forest, supervised.fit_logistic):
         fit(df, ["a"], "y")
-    assert seen == [104_000 + 26_000 * 4.0] * 2
+    assert seen == [104_000 + 26_000 * 4.0] * 3
 
 
 def test_preprocessing_computes_history_once(spark):
